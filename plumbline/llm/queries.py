@@ -54,3 +54,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [op4_mix_sources, op7_secret_scan, op8_quality_rules, op10_chat_format]
     return {f.__name__: f for f in made}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
