@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, mixing, quality_rules, secret_scan
+from plumbline.llm import bpe, chat_format, mixing, quality_rules, secret_scan
 from plumbline.llm.common import table
 
 
@@ -16,6 +16,26 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return takes.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def vocabulary() -> tuple[str, str]:
+    """The rank file and pattern of the queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode_documents(docs, *vocabulary())
+    # The ids go along as `kept`, for their digest beside that of what they decode to.
+    decoded = bpe.decode_documents(encoded.withColumn("kept", F.col("token_ids")), *vocabulary())
+    return decoded.select(
+        "doc_id",
+        F.floor(F.octet_length("kept") / 4).cast("long").alias("n_tokens"),
+        F.sha2("kept", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -52,7 +72,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op4_mix_sources, op7_secret_scan, op8_quality_rules, op10_chat_format]
+    made = [op4_mix_sources, op5_bpe, op7_secret_scan, op8_quality_rules, op10_chat_format]
     return {f.__name__: f for f in made}
 
 
