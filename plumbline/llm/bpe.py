@@ -15,13 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import whole_text
 
 #: Characters of the texts that are encoded together; a longer text is a block of its own.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 
 # Neighbours are the next rows: one thread keeps the order of the rows, and
 # what comes out is decoded and compared before it is used.
@@ -47,10 +48,18 @@ def read_ranks(rank_file: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class _Numbered(dict):
+    """Numbers keys from 0 as they are first looked up."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Coder:
-    """One DuckDB connection with the vocabulary and all pairs of tokens whose bytes make a token."""
+    """One DuckDB connection with the vocabulary and, for encoding, all pairs of tokens whose bytes make a token."""
 
-    def __init__(self, rank_file: str, pattern: str, memory: str = "400MB") -> None:
+    def __init__(self, rank_file: str, pattern: str, encodes: bool = True, memory: str = "250MB") -> None:
         import duckdb
         import regex
 
@@ -59,10 +68,16 @@ class Coder:
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.spill = tempfile.TemporaryDirectory()
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": self.spill.name})
+        self._table("vocab", id=np.array(list(self.ranks.values()), np.int32), hx=[t.hex() for t in self.ranks])
+        if not encodes:
+            return
+        # Bytes of all tokens in one array, by id, to check what comes out of a merge.
+        by_id = {r: t for t, r in self.ranks.items()}
+        lengths = np.array([len(by_id.get(i, b"")) for i in range(max(by_id) + 1)])
+        self.bytes, self.ends = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(len(lengths))), np.uint8), np.cumsum(lengths)
         pairs = [(a, b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := self.ranks.get(t[:i])) is not None and (b := self.ranks.get(t[i:])) is not None]
         left, right, merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
         self._table("merges", lr=left * (1 << 32) + right, m=merged.astype(np.int32))
-        self._table("vocab", id=np.array(list(self.ranks.values()), np.int32), hx=[t.hex() for t in self.ranks])
 
     def _table(self, table: str, **columns: object) -> None:
         self.db.register("incoming", pa.table(columns))
@@ -83,6 +98,12 @@ class Coder:
             out[w] = b
         return out
 
+    def _spells(self, tokens: np.ndarray, data: np.ndarray) -> bool:
+        """Whether the tokens' bytes are ``data``."""
+        begins = np.concatenate([[0], self.ends[:-1]])[tokens]
+        n = self.ends[tokens] - begins
+        return int(n.sum()) == len(data) and bool(np.array_equal(self.bytes[np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(len(data))], data))
+
     def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, ends) of words that aren't tokens themselves."""
         if not words:
@@ -95,14 +116,14 @@ class Coder:
             got = self.db.execute(query).fetchnumpy()
             ends = np.cumsum(np.bincount(np.asarray(got["w"]), minlength=len(words)))
             tokens = np.asarray(got["t"], np.int32)
-            if self.decode(tokens, ends) == words:
+            if self._spells(tokens, data):
                 return tokens, ends
         raise RuntimeError("the merged tokens don't give their words back")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, ends) of whole texts, without special tokens."""
-        seen: dict[str, int] = {}
-        each = [np.fromiter((seen.setdefault(w, len(seen)) for w in self.pattern.findall(t)), np.int64) for t in texts]
+        seen = _Numbered()
+        each = [np.array(list(map(seen.__getitem__, self.pattern.findall(t))), np.int64) for t in texts]
         words = [w.encode() for w in seen]
         whole = np.array([self.ranks.get(w, -1) for w in words], np.int32)
         rest = np.flatnonzero(whole < 0)
@@ -130,49 +151,60 @@ def _blocks(sizes: list[int], limit: int) -> Iterator[slice]:
         yield slice(first, len(sizes))
 
 
-def _mapped(df: DataFrame, column: str, out: str, work, rank_file: str, pattern: str) -> DataFrame:
-    """``df`` with the binary column ``out`` in place of ``column``."""
-    keep = [c for c in df.columns if c not in (column, out)]
-    schema = df.select(*keep, F.lit(b"").alias(out)).schema
+def _mapped(df: DataFrame, column: str, outs: list[str], work, rank_file: str, pattern: str, encodes: bool) -> DataFrame:
+    """``df`` with the binary columns ``outs``, which ``work`` makes of ``column``, in its place."""
+    keep = [c for c in df.columns if c != column and c not in outs]
+    schema = df.select(*keep, *[F.lit(b"").alias(c) for c in outs]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(rank_file, pattern)
+        coder = Coder(rank_file, pattern, encodes)
         try:
             for batch in batches:
-                values = batch.column(column)
-                sizes = pa.compute.binary_length(values).to_pylist()
+                sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
                 for part in _blocks(sizes, BLOCK_CHARS):
                     rows = batch.slice(part.start, part.stop - part.start)
-                    made = pa.array(work(coder, rows.column(column)), pa.binary())
-                    yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], made], [*keep, out])
+                    made = [pa.array(x, pa.binary()) for x in work(coder, rows.column(column))]
+                    yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], *made], [*keep, *outs])
         finally:
             coder.close()
 
     return df.select(*keep, column).mapInArrow(run, schema)
 
 
-def _encoded(coder: Coder, texts: pa.Array) -> list[bytes]:
-    tokens, ends = coder.encode(texts.to_pylist())
+def _packed(tokens: np.ndarray, ends: np.ndarray) -> list[bytes]:
     data, stops = tokens.astype("<u4").tobytes(), [0, *(ends * 4).tolist()]
     return [data[a:b] for a, b in zip(stops, stops[1:], strict=False)]
 
 
-def _decoded(coder: Coder, ids: pa.Array) -> list[bytes]:
+def _encoded(coder: Coder, texts: pa.Array) -> list[list[bytes]]:
+    return [_packed(*coder.encode(texts.to_pylist()))]
+
+
+def _round_trip(coder: Coder, texts: pa.Array) -> list[list[bytes]]:
+    tokens, ends = coder.encode(texts.to_pylist())
+    return [_packed(tokens, ends), coder.decode(tokens, ends)]
+
+
+def _decoded(coder: Coder, ids: pa.Array) -> list[list[bytes]]:
     runs = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids.to_pylist()]
-    return coder.decode(np.concatenate(runs), np.cumsum([len(r) for r in runs])) if runs else []
+    return [coder.decode(np.concatenate(runs), np.cumsum([len(r) for r in runs])) if runs else []]
 
 
-def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """Replace ``text`` by ``ids``: the whole text's token ids as little-endian unsigned 32-bit integers, as in token files.
 
-    Null texts count as empty and give no bytes. Repeated rows are encoded
-    alike; other columns stay, but one called like ``ids`` is replaced. An empty table gives no
-    rows. A pre-token takes a merge step for each token it loses, so one
-    run of letters of very great length is slow, but whole.
+    With ``decoded``, a column of that name has the bytes that the ids decode
+    to. Null texts count as empty and give no bytes. Repeated rows are encoded
+    alike; other columns stay, but those called like the new ones are replaced.
+    An empty table gives no rows. A pre-token takes a merge step for each token
+    it loses, so one run of letters of very great length is slow, but whole.
     """
-    return _mapped(docs.withColumn(text, whole_text(text)), text, ids, _encoded, rank_file, pattern)
+    docs = docs.withColumn(text, whole_text(text))
+    if decoded is None:
+        return _mapped(docs, text, [ids], _encoded, rank_file, pattern, True)
+    return _mapped(docs, text, [ids, decoded], _round_trip, rank_file, pattern, True)
 
 
 def decode_documents(docs: DataFrame, rank_file: str, pattern: str, ids: str = "token_ids", data: str = "decoded") -> DataFrame:
     """Replace ``ids`` by ``data``, the decoded bytes; null ids count as none."""
-    return _mapped(docs.withColumn(ids, F.coalesce(F.col(ids), F.lit(b""))), ids, data, _decoded, rank_file, pattern)
+    return _mapped(docs.withColumn(ids, F.coalesce(F.col(ids), F.lit(b""))), ids, [data], _decoded, rank_file, pattern, False)

@@ -2,57 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.scratch import discard, materialize  # noqa: F401  for the operators here
+
 #: Runs of white space between words: space, tab, LF, VT, FF, CR.
 WS = r"[\x20\x09-\x0D]+"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    It is the cluster's ``spark.checkpoint.dir``. Where that is unset a local
-    session gets a temporary folder; a cluster must name a shared one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared scratch folder and read it back.
-
-    This cuts the lineage, survives lost executors and gives the planner real
-    sizes. The folder is removed when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/plumbline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _path(spark, path, lambda fs, p: fs.deleteOnExit(p))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._plumbline_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Remove a table made by :func:`materialize` that nothing reads any more."""
-    _path(df.sparkSession, df._plumbline_path, lambda fs, p: fs.delete(p, True))
-
-
-def _path(spark: SparkSession, path: str, act) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    act(p.getFileSystem(spark._jsc.hadoopConfiguration()), p)
-
-
 def whole_text(col: str = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -25,13 +25,11 @@ def vocabulary() -> tuple[str, str]:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode_documents(docs, *vocabulary())
-    # The ids go along as `kept`, for their digest beside that of what they decode to.
-    decoded = bpe.decode_documents(encoded.withColumn("kept", F.col("token_ids")), *vocabulary())
-    return decoded.select(
+    coded = bpe.encode_documents(docs, *vocabulary(), decoded="decoded")
+    return coded.select(
         "doc_id",
-        F.floor(F.octet_length("kept") / 4).cast("long").alias("n_tokens"),
-        F.sha2("kept", 256).alias("ids_sha256"),
+        F.floor(F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
