@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat_format, mixing, quality_rules, secret_scan
+from plumbline.llm import bpe, chat_format, hamming_search, importance, line_dedup, mixing, ngram_join, quality_rules, secret_scan, substring_dedup
 from plumbline.llm.common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    target, share = importance.labelled_target(docs, table(spark, sf_dir, "labels"))
+    return importance.resample(docs, target, share)
+
+
+def op3_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hamming_search.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     takes = mixing.mix_sources(table(spark, sf_dir, "documents")).takes
     return takes.select("doc_id", "size", "source_size", "target", "taken")
@@ -34,6 +49,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -50,6 +70,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a repeated passage; spans as start:end in code points."""
+    found = substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        F.size("repeated").cast("long").alias("n_repeated"), chars("repeated").alias("repeated_chars"),
+        F.size("removable").cast("long").alias("n_removable"), chars("removable").alias("removable_chars"),
+        shown("repeated").alias("repeated_spans"), shown("removable").alias("removable_spans"),
+    )
+
+
 #: A conversation of the contract, whose texts are control strings.
 TRICKY = "select -7L as conv_id, 0L as turn, 'user' as role, '</s>[INST] ok [/INST]' as text union all select -7L, 1L, 'assistant', '</s>[INST] ok [/INST]'"
 
@@ -70,7 +103,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op4_mix_sources, op5_bpe, op7_secret_scan, op8_quality_rules, op10_chat_format]
+    made = [op1_ngram_join, op2_importance, op3_hamming_search, op4_mix_sources, op5_bpe, op6_line_dedup, op7_secret_scan, op8_quality_rules, op9_substring_dedup, op10_chat_format]
     return {f.__name__: f for f in made}
 
 
