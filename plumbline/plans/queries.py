@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import is_code_language, is_external
-from plumbline.functions.stats import distribution, percentile, percentiles
+from plumbline.functions.scalars import is_code_language, is_external, round_half_up
+from plumbline.functions.stats import PERCENTS, distribution, percentile, percentiles
 from plumbline.operators import gate, graph, metrics
 from plumbline.plans.brand_graph import brand_config, brand_output, raw_edges
 from plumbline.plans.health import gate_frame
@@ -128,17 +128,22 @@ def complexity_p75(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(spark, sf_dir).where("complexity > 0").groupBy("project").agg(percentile("complexity", 75).alias("complexity_p75"))
 
 
-_PS = ", ".join(f"quantile_cont(CAST(p_size AS DOUBLE), {p / 100}) AS p{p}" for p in (25, 50, 75, 90, 95, 99))
+# Interpolation differs in the last bits between engines, so percentiles are compared to six decimals.
+_PS = ", ".join(f"FLOOR(quantile_cont(CAST(p_size AS DOUBLE), {p / 100}) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS p{p}" for p in PERCENTS)
+
+
+def _rounded() -> dict[str, Column]:
+    return {f"p{p}": round_half_up(f"p{p}", 6) for p in PERCENTS}
 
 
 @_query(f"SELECT p_brand AS project, {_PS} FROM part GROUP BY 1")
 def percentile_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.col("p_brand").alias("project")).agg(*percentiles(F.col("p_size").cast("double")))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.col("p_brand").alias("project")).agg(*percentiles(F.col("p_size").cast("double"))).withColumns(_rounded())
 
 
 @_query(f'SELECT p_brand AS project, COUNT(*) AS "count", SUM(CAST(p_size AS DOUBLE)) AS "sum", AVG(CAST(p_size AS DOUBLE)) AS mean, MIN(CAST(p_size AS DOUBLE)) AS "min", MAX(CAST(p_size AS DOUBLE)) AS "max", {_PS} FROM part GROUP BY 1')
 def distribution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.col("p_brand").alias("project")).agg(*distribution(F.col("p_size").cast("double")))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.col("p_brand").alias("project")).agg(*distribution(F.col("p_size").cast("double"))).withColumns(_rounded())
 
 
 @_query(_sql(_SCC, "SELECT project, node, comp FROM scc"))

@@ -33,8 +33,8 @@ FILE_GROUPS = T.ArrayType(
     )
 )
 MODULE_GRAPH = T.StructType([T.StructField("modules", T.ArrayType(T.StructType([T.StructField("source", T.StringType()), T.StructField("dependencies", T.ArrayType(T.StructType([T.StructField("resolved", T.StringType())])))])))])
-FILE_STATS = T.StructType.fromDDL("project string, path string, loc double, complexity double, ord long")
-MODULES = T.StructType.fromDDL("project string, source string")
-EDGES = T.StructType.fromDDL("project string, src string, dst string")
-PROJECT_CONFIG = T.StructType.fromDDL("project string, proj_ord int, src_dir string, last_score double, threshold double")
-METRIC_CONFIG = T.StructType.fromDDL("project string, proj_ord int, metric_ord int, metric string, good double, bad double, direction string, weight double")
+FILE_STATS = "project string, path string, loc double, complexity double, ord long"
+MODULES = "project string, source string"
+EDGES = "project string, src string, dst string"
+PROJECT_CONFIG = "project string, proj_ord int, src_dir string, last_score double, threshold double"
+METRIC_CONFIG = "project string, proj_ord int, metric_ord int, metric string, good double, bad double, direction string, weight double"

@@ -96,7 +96,8 @@ def parse_modules(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     mods = _require(mods, F.col("m.source").isNotNull() & F.col("m.dependencies").isNotNull(), "a module without source or dependencies, in the graph")
     mods = mods.where(~is_external("m.source"))
     deps = mods.select("project", F.col("m.source").alias("src"), F.explode("m.dependencies.resolved").alias("dst"))
-    deps = _require(deps, F.col("dst").isNotNull(), "an unresolved dependency, in the graph")
+    # As a value, since a filter could come after that of external names, which drops nulls.
+    deps = deps.select("project", "src", F.coalesce("dst", F.raise_error(F.concat(F.lit("an unresolved dependency, in the graph of project "), F.col("project")))).alias("dst"))
     return mods.select("project", F.col("m.source").alias("source")), deps.where(~is_external("dst")).distinct()
 
 
