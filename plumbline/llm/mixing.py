@@ -9,6 +9,7 @@ source, however large, is handled by one task.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -120,9 +121,11 @@ def mix_sources(
     )
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, share, repeats))
-    total, n_sources = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count("*")).first()
-    block = max(1, -(-int(total) // max(slots, slots_a_source * n_sources)))
-    schedule = materialize(source_schedule(spark, targets, -(-int(total) // block)))
+    words, n_sources = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
+    # Of whole numbers, so that it is the same whatever the order of addition.
+    total = math.ceil(min(share, repeats) * words)
+    block = max(1, -(-total // max(slots, slots_a_source * n_sources)))
+    schedule = materialize(source_schedule(spark, targets, -(-total // block)))
 
     bucket = F.shiftright("_key", BUCKET_SHIFT)
     in_bucket = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, chat_format, hamming_search, importance, line_dedup, mixing, ngram_join, quality_rules, secret_scan, substring_dedup
 from plumbline.llm.common import table
+from plumbline.llm.oracles import oracle_sql  # noqa: F401  for the entry
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +106,3 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [op1_ngram_join, op2_importance, op3_hamming_search, op4_mix_sources, op5_bpe, op6_line_dedup, op7_secret_scan, op8_quality_rules, op9_substring_dedup, op10_chat_format]
     return {f.__name__: f for f in made}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
