@@ -1,7 +1,7 @@
 """Substring dedup by content-defined chunks.
 
 A gear rolling hash cuts each text where the last bytes say so, so an insertion
-moves only the cuts beside it. Chunks of equal digest are duplicates; runs of
+moves only the cuts beside it. Chunks of equal 128-bit digest are duplicates; runs of
 them are repeated passages, and all but the first occurrence can go.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import materialize, whole_text
 from plumbline.llm.shingles import blocks, mix, text_bytes
 
-#: Bytes that the rolling hash sees, and the shortest and longest chunk.
+#: Bytes that the rolling hash sees, and the shortest and longest chunk; characters and words of a chunk fit a byte.
 WINDOW, LEAST, MOST = 16, 24, 160
 #: A position cuts with probability 2**-CUT_BITS, so a chunk has about LEAST + 16 bytes.
 CUT_BITS = 4
@@ -51,23 +51,22 @@ def chunk_ends(places: list[int], begin: int, end: int, starts_char: np.ndarray)
 
 
 def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """(row, number, start, end, words, digest 1, digest 2) of every chunk; places in code points."""
+    """(row, start, characters, words, digest 1, digest 2) of every chunk; places in code points."""
     import xxhash
 
     data, offsets = text_bytes(texts)
     starts_char = (data & 0xC0) != 0x80
     raw = data.tobytes()
     places = cut_places(data).tolist()
-    row, number, begin, end, d1, d2 = [], [], [], [], [], []
+    row, begin, end, d1, d2 = [], [], [], [], []
     for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         lo, hi = bisect_left(places, a), bisect_left(places, b)
         ends = chunk_ends(places[lo:hi], a, b, starts_char)
-        for k, stop in enumerate(ends):
+        for stop in ends:
             digest = xxhash.xxh3_128_intdigest(raw[a:stop])
             d1.append(digest >> 64)
             d2.append(digest & 0xFFFFFFFFFFFFFFFF)
             row.append(r)
-            number.append(k)
             begin.append(a)
             end.append(stop)
             a = stop
@@ -79,71 +78,69 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
     words = np.concatenate([[0], np.cumsum(first)])
     base = chars[offsets[row_a]] if len(row_a) else begin_a
     signed = lambda x: np.array(x, np.uint64).view(np.int64)
-    return row_a, np.array(number, np.int64), chars[begin_a] - base, chars[end_a] - base, words[end_a] - words[begin_a], signed(d1), signed(d2)
+    return row_a, chars[begin_a] - base, chars[end_a] - chars[begin_a], words[end_a] - words[begin_a], signed(d1), signed(d2)
 
 
 def chunk_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, at, size, d1, d2) of each chunk of (doc_id, k, text); at is number << 32 | start, size is words << 32 | characters."""
+    """(doc_id, k, piece, d1, d2) of each chunk of (doc_id, k, text); piece is start << 16 | characters << 8 | words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text", 1_000_000):
-                row, number, start, end, words, d1, d2 = chunks(part.column("text"))
+                row, start, chars, words, d1, d2 = chunks(part.column("text"))
                 ids = [part.column(c).take(pa.array(row)) for c in ("doc_id", "k")]
-                rest = [pa.array(x) for x in (number << 32 | start, words << 32 | (end - start), d1, d2)]
-                yield pa.RecordBatch.from_arrays([*ids, *rest], ["doc_id", "k", "at", "size", "d1", "d2"])
+                rest = [pa.array(x) for x in (start << 16 | chars << 8 | words, d1, d2)]
+                yield pa.RecordBatch.from_arrays([*ids, *rest], ["doc_id", "k", "piece", "d1", "d2"])
 
-    return docs.select("doc_id", "k", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, at long, size long, d1 long, d2 long")
+    return docs.select("doc_id", "k", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, piece long, d1 long, d2 long")
 
 
 def _runs(pieces: Column, min_words: int) -> Column:
-    """Spans of neighbouring pieces (no, start, chars, words), in order, with at least ``min_words`` words."""
-    empty = F.struct(F.array().cast("array<struct<start:bigint,end:bigint>>").alias("done"), F.lit(-2).cast("bigint").alias("no"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("words"))
+    """Spans of neighbouring pieces, in order, with at least ``min_words`` words."""
+    long = lambda n: F.lit(n).cast("bigint")
+    empty = F.struct(F.array().cast("array<struct<start:bigint,end:bigint>>").alias("done"), long(-1).alias("start"), long(-1).alias("end"), long(0).alias("words"))
 
     def closed(s: Column) -> Column:
         span = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))
         return F.when(s["words"] >= min_words, F.concat(s["done"], span)).otherwise(s["done"])
 
     def step(s: Column, p: Column) -> Column:
-        goes_on = p["no"] == s["no"] + 1
+        start = F.shiftright(p["piece"], 16)
+        goes_on = start == s["end"]
         return F.struct(
             F.when(goes_on, s["done"]).otherwise(closed(s)).alias("done"),
-            p["no"].alias("no"),
-            F.when(goes_on, s["start"]).otherwise(p["start"]).alias("start"),
-            (p["start"] + p["chars"]).alias("end"),
-            (F.when(goes_on, s["words"]).otherwise(F.lit(0).cast("bigint")) + p["words"]).alias("words"),
+            F.when(goes_on, s["start"]).otherwise(start).alias("start"),
+            (start + F.shiftright(p["piece"], 8).bitwiseAND(long(255))).alias("end"),
+            (F.when(goes_on, s["words"]).otherwise(long(0)) + p["piece"].bitwiseAND(long(255))).alias("words"),
         )
 
     return F.aggregate(pieces, empty, step, closed)
 
 
-def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 10) -> DataFrame:
+def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 20) -> DataFrame:
     """Passages that occur more than once, for each document that has any.
 
     Returns doc_id, k (a hash of the text), ``repeated`` and ``removable``: spans
     (start, end) in code points of runs of duplicate chunks with ``min_words``
     words or more, and of those runs of which each chunk has an earlier
-    occurrence, by document id (null last), text and place. Rows with equal id
-    and text share one row and keep their first occurrence. Null and empty texts and an empty table give
-    nothing; other columns are ignored.
+    occurrence, by document id (null last), text and place. What a passage has
+    before its first and after its last whole chunk isn't in its span, so
+    passages of 50 words are found by a lower ``min_words``. Rows with equal id
+    and text share one row and keep their first occurrence. Null and empty
+    texts and an empty table give nothing; other columns are ignored.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole_text(text)).alias("k"), whole_text(text).alias("text"))
-    every = materialize(chunk_documents(source))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k", "at")
-    # `first` is of one row at least; a digest with one row has first == last.
+    # Read and cut twice rather than kept: the chunks are more than the texts.
+    every = chunk_documents(source)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k", "piece")
     twice = every.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("d1", "d2", "first")
-    found = every.join(twice, ["d1", "d2"]).select("doc_id", "k", "at", "size", (place == F.col("first")).alias("is_first"))
-    low = F.lit((1 << 32) - 1)
-    piece = F.struct(
-        F.shiftright("at", 32).alias("no"), F.col("at").bitwiseAND(low).alias("start"),
-        F.col("size").bitwiseAND(low).alias("chars"), F.shiftright("size", 32).alias("words"), "is_first",
-    )
-    by_doc = found.groupBy("doc_id", "k").agg(F.sort_array(F.collect_set(piece)).alias("pieces"))
+    found = every.join(twice, ["d1", "d2"]).select("doc_id", "k", "piece", (place == F.col("first")).alias("is_first"))
+    by_doc = found.groupBy("doc_id", "k").agg(F.sort_array(F.collect_set(F.struct("piece", "is_first"))).alias("pieces"))
     spans = by_doc.select("doc_id", "k", _runs(F.col("pieces"), min_words).alias("repeated"), _runs(F.filter("pieces", lambda p: ~p["is_first"]), min_words).alias("removable"))
     return spans.where(F.size("repeated") > 0)
 
 
-def remove_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 10) -> DataFrame:
+def remove_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 20) -> DataFrame:
     """``docs`` with the removable passages taken out of ``text``; texts without any stay as they are."""
     passages = materialize(repeated_passages(docs, text, doc_id, min_words).where(F.size("removable") > 0).select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "removable"))
     joined = docs.join(passages, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text(text)) == F.col("_k")), "left")
