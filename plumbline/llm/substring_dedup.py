@@ -73,8 +73,9 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
     row_a, begin_a, end_a = np.array(row, np.int64), np.array(begin, np.int64), np.array(end, np.int64)
     chars = np.concatenate([[0], np.cumsum(starts_char)])
     solid = ~np.isin(data, np.array([0x20, 9, 10, 11, 12, 13], np.uint8))
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
+    first, opens = solid.copy(), np.zeros(len(data) + 1, bool)
+    opens[offsets] = True
+    first[1:] &= ~solid[:-1] | opens[1:-1]
     words = np.concatenate([[0], np.cumsum(first)])
     base = chars[offsets[row_a]] if len(row_a) else begin_a
     signed = lambda x: np.array(x, np.uint64).view(np.int64)
