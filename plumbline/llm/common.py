@@ -44,3 +44,26 @@ def text_key(text: Column) -> list[Column]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Let Arrow batches of whole documents have ``size`` bytes, unless the session says otherwise than Spark's default.
+
+    The default of 64 MB is held several times over in each of the JVM and the
+    Python workers.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m") in ("64m", "67108864b", "67108864"):
+        spark.conf.set(key, size)
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system; the worker waits for other tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize, whole_text
+from plumbline.llm.common import materialize, release, small_batches, whole_text
 from plumbline.llm.shingles import blocks, gram_hashes, word_hashes
 
 BUCKETS = 1 << 14
@@ -37,6 +37,7 @@ def bucket_counts(docs: DataFrame, text: str) -> np.ndarray:
         for batch in batches:
             for part in blocks(batch, "text"):
                 total += np.bincount(_buckets(part.column(0))[0], minlength=BUCKETS)
+        release()
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
 
@@ -67,6 +68,7 @@ def score_documents(docs: DataFrame, ratios: np.ndarray, text: str) -> DataFrame
                 n = np.bincount(owner, minlength=len(part))
                 w = np.bincount(owner, spread.value[bucket], minlength=len(part))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(n, pa.int64()), pa.array(w, pa.float64())], [*keep, "n_grams", "log_weight"])
+        release()
 
     return docs.select(*keep, text).mapInArrow(score, schema)
 
@@ -119,6 +121,7 @@ def resample(docs: DataFrame, target: DataFrame, share: float, text: str = "text
     replace any of their names), and the texts are scored a second time rather
     than joined.
     """
+    small_batches(docs.sparkSession)
     made = ["n_grams", "log_weight", "priority", "kept", "_rank", "_scored"]
     noise = gumbel([F.coalesce(F.col(doc_id), F.lit(-1).cast("long")), F.xxhash64(whole_text(text))], seed).alias("_noise")
     rows = docs.select(*([c for c in docs.columns if c not in made] if keep_rows else [F.col(doc_id).alias("doc_id")]), noise, whole_text(text).alias("_scored"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize, text_key, whole_text
+from plumbline.llm.common import materialize, release, small_batches, text_key, whole_text
 from plumbline.llm.components import components
 from plumbline.llm.shingles import blocks, gram_hashes, mix, unique_grams, word_hashes
 
@@ -62,6 +62,7 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 grams, ends = gram_hashes(words, counts, WORDS)
                 made = [pa.array(np.diff(counts), pa.int64()), pa.array(np.diff(ends), pa.int64()), signatures(grams, ends, bands, rows)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *made], ["doc_id", "key", "n_words", "n_grams", "bands"])
+        release()
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key string, n_words long, n_grams long, bands array<long>")
 
@@ -77,6 +78,7 @@ def _gram_sets(texts: DataFrame) -> DataFrame:
                 grams, ends = unique_grams(*gram_hashes(*word_hashes(part.column("text")), WORDS))
                 data, stops = grams.tobytes(), (ends * 8).tolist()
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array([data[a:b] for a, b in zip(stops, stops[1:], strict=False)], pa.binary())], [*keep, "grams"])
+        release()
 
     return texts.mapInArrow(run, schema)
 
@@ -147,6 +149,7 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", simi
     threshold shares one with probability ``recall``; pairs of a candidate group
     are all verified, so that no link within it is lost.
     """
+    small_batches(docs.sparkSession)
     bands = choose_bands(similarity, recall, rows)
     source = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")).select("doc_id", _key("text").alias("key"), "text")
     signed = materialize(_signed(source, bands, rows))
@@ -156,7 +159,8 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", simi
     # The band's number is part of its hash.
     banded = reps.select("key", F.explode("bands").alias("h"))
     shared = banded.groupBy("h").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").select("h", "least")
-    stars = banded.join(shared, "h").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
+    # The planner doesn't see how many rows the bands make, so it must not broadcast them.
+    stars = banded.join(shared.hint("merge"), "h").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
     grouped = materialize(components(stars))
     groups = grouped.select(F.col("node").alias("key"), "root").unionByName(grouped.select(F.col("root").alias("key"), "root").distinct())
 
