@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import tempfile
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,12 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import whole_text
+from plumbline.llm.common import release, small_batches, whole_text
 
 #: Characters of the texts that are encoded together; a longer text is a block of its own.
 BLOCK_CHARS = 2_000_000
+#: Words whose tokens a task remembers from block to block; beyond that it starts anew.
+REMEMBERED = 300_000
 
 # Neighbours are the next rows: one thread keeps the order of the rows, and
 # what comes out is decoded and compared before it is used.
@@ -71,6 +74,7 @@ class Coder:
         self._table("vocab", id=np.array(list(self.ranks.values()), np.int32), hx=[t.hex() for t in self.ranks])
         if not encodes:
             return
+        self._forget()
         # Bytes of all tokens in one array, by id, to check what comes out of a merge.
         by_id = {r: t for t, r in self.ranks.items()}
         lengths = np.array([len(by_id.get(i, b"")) for i in range(max(by_id) + 1)])
@@ -120,24 +124,35 @@ class Coder:
                 return tokens, ends
         raise RuntimeError("the merged tokens don't give their words back")
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, ends) of whole texts, without special tokens."""
-        seen = _Numbered()
-        each = [np.array(list(map(seen.__getitem__, self.pattern.findall(t))), np.int64) for t in texts]
-        words = [w.encode() for w in seen]
+    def _forget(self) -> None:
+        self.known = _Numbered()
+        self.tokens, self.first, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Add the tokens of new words, which have the next numbers."""
         whole = np.array([self.ranks.get(w, -1) for w in words], np.int32)
         rest = np.flatnonzero(whole < 0)
         merged, ends = self._merged([words[i] for i in rest])
-        # All words' tokens in one array: those of merged words first, then one token each of the others.
-        tokens = np.concatenate([merged, whole])
-        begin, length = np.arange(len(words)) + len(merged), np.ones(len(words), np.int64)
+        # Merged words' tokens come first, then one token each of the others.
+        length = np.ones(len(words), np.int64)
+        first = np.arange(len(words)) + len(merged)
         length[rest] = np.diff(ends, prepend=0)
-        begin[rest] = ends - length[rest]
+        first[rest] = ends - length[rest]
+        self.first = np.concatenate([self.first, first + len(self.tokens)])
+        self.length = np.concatenate([self.length, length])
+        self.tokens = np.concatenate([self.tokens, merged, whole])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, ends) of whole texts, without special tokens."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        before = len(self.known)
+        each = [np.array(list(map(self.known.__getitem__, self.pattern.findall(t))), np.int64) for t in texts]
+        self._learn([w.encode() for w in islice(self.known, before, None)])
         every = np.concatenate(each) if each else np.zeros(0, np.int64)
-        n = length[every]
-        at = np.repeat(begin[every] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        sizes = np.array([length[e].sum() for e in each], np.int64)
-        return tokens[at], np.cumsum(sizes)
+        n = self.length[every]
+        at = np.repeat(self.first[every] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.tokens[at], np.cumsum(np.array([self.length[e].sum() for e in each], np.int64))
 
 
 def _blocks(sizes: list[int], limit: int) -> Iterator[slice]:
@@ -167,7 +182,10 @@ def _mapped(df: DataFrame, column: str, outs: list[str], work, rank_file: str, p
                     yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], *made], [*keep, *outs])
         finally:
             coder.close()
+            del coder
+            release()
 
+    small_batches(df.sparkSession)
     return df.select(*keep, column).mapInArrow(run, schema)
 
 
