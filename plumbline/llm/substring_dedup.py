@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize, whole_text
+from plumbline.llm.common import materialize, release, small_batches, whole_text
 from plumbline.llm.shingles import blocks, mix, text_bytes
 
 #: Bytes that the rolling hash sees, and the shortest and longest chunk; characters and words of a chunk fit a byte.
@@ -92,7 +92,9 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
                 ids = [part.column(c).take(pa.array(row)) for c in ("doc_id", "k")]
                 rest = [pa.array(x) for x in (start << 16 | chars << 8 | words, d1, d2)]
                 yield pa.RecordBatch.from_arrays([*ids, *rest], ["doc_id", "k", "piece", "d1", "d2"])
+        release()
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "k", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, piece long, d1 long, d2 long")
 
 
@@ -135,6 +137,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     every = chunk_documents(source)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k", "piece")
     twice = every.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("d1", "d2", "first")
+    # A table of its own, so that both sides of the join are dealt for it and a digest with very many rows can be split.
+    twice = materialize(twice)
     found = every.join(twice, ["d1", "d2"]).select("doc_id", "k", "piece", (place == F.col("first")).alias("is_first"))
     by_doc = found.groupBy("doc_id", "k").agg(F.sort_array(F.collect_set(F.struct("piece", "is_first"))).alias("pieces"))
     spans = by_doc.select("doc_id", "k", _runs(F.col("pieces"), min_words).alias("repeated"), _runs(F.filter("pieces", lambda p: ~p["is_first"]), min_words).alias("removable"))
