@@ -89,7 +89,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "e
             if radius <= width:
                 probes.append(_probes(i, own[i], _flips(width, radius)))
         probed = active.select("query", "kth", F.explode(F.flatten(F.array(*probes))).alias("p")).select("query", "kth", "p.seg", "p.value")
-        met = probed.join(index, ["seg", "value"]).withColumn("distance", hamming(F.col("query"), F.col("code"))).where("distance <= kth")
+        # The probes are many more than the planner takes them for, so it must not broadcast them.
+        met = probed.join(index.hint("merge"), ["seg", "value"]).withColumn("distance", hamming(F.col("query"), F.col("code"))).where("distance <= kth")
         # A code is met in each segment at this radius; the first of those counts, and none that an earlier radius had.
         apart = [F.bit_count(a.bitwiseXOR(b)) for a, b in zip(own, _values(F.col("code"), segs), strict=True)]
         new = F.lit(True)
