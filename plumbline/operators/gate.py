@@ -54,6 +54,9 @@ def plain(x: float) -> str:
     return str(int(x)) if float(x).is_integer() else repr(float(x))
 
 
+# Fixed formats of the messages below.
+
+
 def _shown(x: float | None) -> str:
     return "n/a" if x is None else one_decimal(x)
 

@@ -26,6 +26,7 @@ def to_json(value: Any, indent: int | None = None) -> str:
     return json.dumps(_plain(value), ensure_ascii=False, indent=indent, separators=None if indent else (",", ":"))
 
 
+# Fixed format: widths of labels and scores, and the order of blocks.
 def format_report(result: Any) -> str:
     """A block a project, and the mean."""
     show = lambda x: "n/a" if x is None else one_decimal(x)
@@ -43,6 +44,7 @@ def format_json(result: Any, gates: dict[str, GateResult] | None = None) -> dict
     return {"score": result.score, "projects": projects}
 
 
+# Fixed format: columns, rule line and escapes of the summary.
 def job_summary(raw: str, mode: str = "scan", config: str = "") -> str:
     """Markdown of a JSON report; what isn't JSON shows as no data."""
     try:
@@ -53,7 +55,6 @@ def job_summary(raw: str, mode: str = "scan", config: str = "") -> str:
     projects = report.get("projects") or []
     gated = any(p.get("gate") for p in projects)
     head = ["Project", "Score", *METRICS] + ["Gate", "Floor"] * gated
-    # Fixed rule line of the table, by column.
     rule = ["---------", "------:", "-------------:", "---------:", "-------------:", "-----------:", "---------:"] + ["------", "------:"] * gated
     out = [f"## plumbline — {mode} results", "", f"**Mean score:** {report.get('score', '')}  |  **Config:** `{config}`  |  **Mode:** {mode}", "", "| " + " | ".join(head) + " |", "|" + "|".join(rule) + "|"]
     for p in projects:

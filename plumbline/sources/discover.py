@@ -87,8 +87,7 @@ def expand_glob(files: Files, root: str, glob: str) -> list[str]:
 
 
 def _folders(files: Files, root: str, at: str) -> list[str]:
-    names = [n for n in files.list(join_posix(root, at)) if n != "node_modules"]
-    return [c for n in names if files.is_dir(join_posix(root, c := join_posix(at, n)))]
+    return [c for n in files.list(join_posix(root, at)) if files.is_dir(join_posix(root, c := join_posix(at, n)))]
 
 
 def package_name(files: Files, root: str, at: str) -> str:

@@ -62,42 +62,53 @@ def run_command(command: list[str], cwd: str, limit: int = 64 << 20) -> str:
 # --- documents in frames: (project, json, base_dir) --------------------------
 
 
-def _require(df: DataFrame, ok: Column, what: str) -> DataFrame:
-    """Fail the job on the first row where ``ok`` is not true."""
-    return df.where(F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(what + " of project "), F.col("project"))).cast("boolean")))
+def _require(df: DataFrame, ok: Column, what: str, then: Column | None = None) -> DataFrame:
+    """Fail the job on the first row where ``ok`` is not true; of the others keep those where ``then`` is.
+
+    Both are one condition, so that no filter can come before the check.
+    """
+    return df.where(F.when(F.coalesce(ok, F.lit(False)), F.lit(True) if then is None else then).otherwise(F.raise_error(F.concat(F.lit(f"{what} of project "), F.col("project"))).cast("boolean")))
+
+
+def relative_path(path: Column, base: Column) -> Column:
+    """``path`` as seen from the folder ``base``, where both are absolute; other paths stay."""
+    a = F.array_remove(F.split(base, "/"), "")
+    b = F.array_remove(F.split(path, "/"), "")
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(same, False)
+    common = F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
+    parts = F.concat(F.array_repeat(F.lit(".."), F.size(a) - common), F.slice(b, common + 1, F.greatest(F.size(b) - common, F.lit(0))))
+    return F.when(path.startswith("/") & base.startswith("/"), F.array_join(parts, "/")).otherwise(path)
 
 
 def parse_file_stats(docs: DataFrame) -> DataFrame:
-    """file_stats of (project, json, base_dir): code files, paths relative to ``base_dir``, in document order.
+    """file_stats of (project, json, base_dir): code files, absolute paths seen from ``base_dir``, in document order.
 
     Only a list of groups with names and files, each file with a name, code and
-    complexity, is accepted.
+    complexity, is accepted, of whatever language.
     """
-    variant = F.try_parse_json("json")
-    d = docs.select("project", "base_dir", variant.alias("v"), F.from_json("json", FILE_GROUPS).alias("groups"))
-    d = _require(d, F.schema_of_variant("v").startswith("ARRAY"), "file metrics aren't a list, in those")
+    d = docs.select("project", "base_dir", F.try_parse_json("json").alias("v"), F.from_json("json", FILE_GROUPS).alias("groups"))
+    d = _require(d, F.schema_of_variant("v").startswith("ARRAY"), "file metrics that aren't a list,")
     groups = d.select("project", "base_dir", F.posexplode("groups").alias("g", "group"))
-    groups = _require(groups, F.col("group.Name").isNotNull() & F.col("group.Files").isNotNull(), "a group without name or files, in those")
-    groups = groups.where(is_code_language("group.Name"))
+    whole = F.col("group.Name").isNotNull() & F.forall("group.Files", lambda f: f["Filename"].isNotNull() & f["Code"].isNotNull() & f["Complexity"].isNotNull())
+    groups = _require(groups, whole, "file metrics without names, files, code or complexity,", is_code_language("group.Name"))
     files = groups.select("project", "base_dir", "g", F.posexplode("group.Files").alias("f", "file"))
-    files = _require(files, F.col("file.Filename").isNotNull() & F.col("file.Code").isNotNull() & F.col("file.Complexity").isNotNull(), "a file without name, code or complexity, in those")
     path = F.coalesce("file.Location", "file.Filename")
-    base = F.concat(F.rtrim(F.coalesce("base_dir", F.lit("")), F.lit("/")), F.lit("/"))
-    inside = (F.col("base_dir") != "") & path.startswith(base)
-    relative = F.when(inside, F.substr(path, F.length(base) + 1)).otherwise(path)
-    return files.select("project", relative.alias("path"), F.col("file.Code").alias("loc"), F.col("file.Complexity").alias("complexity"), (F.col("g").cast("long") * (1 << 32) + F.col("f")).alias("ord"))
+    return files.select(
+        "project", relative_path(path, F.coalesce("base_dir", F.lit(""))).alias("path"),
+        F.col("file.Code").alias("loc"), F.col("file.Complexity").alias("complexity"),
+        (F.col("g").cast("long") * (1 << 32) + F.col("f")).alias("ord"),
+    )
 
 
 def parse_modules(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(modules, edges) of (project, json): external modules and dependencies left out, edges distinct."""
     d = docs.select("project", F.from_json("json", MODULE_GRAPH).alias("d"))
-    d = _require(d, F.col("d.modules").isNotNull(), "a graph without modules, in that")
+    d = _require(d, F.col("d.modules").isNotNull(), "a graph without modules,")
     mods = d.select("project", F.explode("d.modules").alias("m"))
-    mods = _require(mods, F.col("m.source").isNotNull() & F.col("m.dependencies").isNotNull(), "a module without source or dependencies, in the graph")
-    mods = mods.where(~is_external("m.source"))
+    whole = F.col("m.source").isNotNull() & F.forall("m.dependencies", lambda x: x["resolved"].isNotNull())
+    mods = _require(mods, whole, "a module without source or resolved dependencies,", ~is_external("m.source"))
     deps = mods.select("project", F.col("m.source").alias("src"), F.explode("m.dependencies.resolved").alias("dst"))
-    # As a value, since a filter could come after that of external names, which drops nulls.
-    deps = deps.select("project", "src", F.coalesce("dst", F.raise_error(F.concat(F.lit("an unresolved dependency, in the graph of project "), F.col("project")))).alias("dst"))
     return mods.select("project", F.col("m.source").alias("source")), deps.where(~is_external("dst")).distinct()
 
 

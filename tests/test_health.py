@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline import cli
 from plumbline.operators import gate
@@ -151,16 +152,18 @@ def test_parsers(spark):
     assert {r.source for r in modules.collect()} == {"src/a.ts", "src/b.ts"}
     assert [(r.src, r.dst) for r in edges.collect()] == [("src/a.ts", "src/b.ts")]
     assert tool_json.parse_file_stats(documents(spark, [])).count() == 0
+    paths = spark.createDataFrame([("/r/src/a/b", "/r/src"), ("/r/other/c", "/r/src/"), ("/x", "/r/src"), ("rel/a", "/r/src"), ("/r/src", "/r/src"), ("/r/a", "")], "p string, b string")
+    assert [r.q for r in paths.select(tool_json.relative_path(F.col("p"), F.col("b")).alias("q")).collect()] == ["a/b", "../other/c", "../../x", "rel/a", "", "/r/a"]
     assert tool_json.parse_modules(documents(spark, {"modules": []}))[0].count() == 0
 
 
-@pytest.mark.parametrize("bad", [{"a": 1}, [{"Name": "TypeScript"}], [{"Name": "TypeScript", "Files": [{"Filename": "a", "Complexity": 1}]}]])
+@pytest.mark.parametrize("bad", [{"a": 1}, [{"Name": "TypeScript"}], [{"Name": "TypeScript", "Files": [{"Filename": "a", "Complexity": 1}]}], [{"Name": "Markdown", "Files": [{"Code": 1, "Complexity": 1}]}]])
 def test_bad_metrics(spark, bad):
     with pytest.raises(Exception, match="of project p"):
         tool_json.parse_file_stats(documents(spark, bad)).collect()
 
 
-@pytest.mark.parametrize("bad", [{}, {"modules": [{"source": "a/b"}]}, {"modules": [{"source": "a/b", "dependencies": [{}]}]}])
+@pytest.mark.parametrize("bad", [{}, {"modules": [{"source": "a/b"}]}, {"modules": [{"source": "a/b", "dependencies": [{}]}]}, {"modules": [{"source": "node_modules/b", "dependencies": [{}]}]}])
 def test_bad_graphs(spark, bad):
     with pytest.raises(Exception, match="of project p|project p"):
         tool_json.parse_modules(documents(spark, bad))[1].collect()
