@@ -2,9 +2,10 @@
 
 Codes are cut into segments. Each round looks up, for the queries that are not
 done, the segment values at the next distance from their own, and verifies the
-whole codes found. After the values up to distance r of all m segments, every
-code within m (r + 1) - 1 bits has been seen; a query is done when its k-th
-distance is covered so.
+whole codes found. After the values up to distance r of the first j + 1 of m
+segments, and up to r - 1 of the others, every code within m r + j bits has
+been seen; a query is done when its k-th distance is covered so, and its last
+round looks at no more segments than that takes.
 """
 
 from __future__ import annotations
@@ -46,10 +47,9 @@ def _values(code: Column, segs: list[tuple[int, int, int]]) -> list[Column]:
 
 
 def _flips(width: int, radius: int) -> Column:
-    """All values of ``width`` bits with ``radius`` of them set."""
-    if width <= 20:
-        return F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda x: F.bit_count(x) == radius)
-    return F.array(*[F.lit(sum(1 << b for b in c)) for c in combinations(range(width), radius)])
+    """All values of ``width`` bits with ``radius`` of them set, as a constant array."""
+    values = (sum(1 << b for b in c) for c in combinations(range(width), radius))
+    return F.expr(f"array({', '.join(map(str, values))})")
 
 
 def _probes(seg: int, value: Column, flips: Column) -> Column:
@@ -75,8 +75,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "e
     codes = materialize(first.groupBy("code").agg(F.sort_array(F.collect_list(F.struct(F.col("id").isNull().alias("last"), "id"))).alias("ids")))
     asked = materialize(queries.where(F.size(vector) > 0).select(F.col(vec_id).alias("query_id"), code.alias("query")))
     n_codes = codes.count()
-    bits = min(32, max(4, n_codes.bit_length() - 1))
-    segs = segments(n_words, bits)
+    # Whole bytes of at least log2(n) bits: about one code or fewer has a value.
+    segs = segments(n_words, min(32, 8 * max(1, -(-n_codes.bit_length() // 8))))
     cells = [F.struct(F.lit(i).alias("seg"), v.alias("value")) for i, v in enumerate(_values(F.col("code"), segs))]
     index = materialize(codes.select("code", "ids", F.explode(F.array(*cells)).alias("c")).select("c.seg", "c.value", "code", "ids"))
 
@@ -88,7 +88,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "e
         for i, (_, _, width) in enumerate(segs):
             if radius <= width:
                 probes.append(_probes(i, own[i], _flips(width, radius)))
-        probed = active.select("query", "kth", F.explode(F.flatten(F.array(*probes))).alias("p")).select("query", "kth", "p.seg", "p.value")
+        # No code outside the first kth - m r + 1 segments' values can be nearer than the k-th.
+        enough = F.greatest(F.col("kth") - len(segs) * radius + 1, F.lit(1)).cast("int")
+        probed = active.select("query", "kth", F.explode(F.flatten(F.slice(F.array(*probes), F.lit(1), enough))).alias("p")).select("query", "kth", "p.seg", "p.value")
         # The probes are many more than the planner takes them for, so it must not broadcast them.
         met = probed.join(index.hint("merge"), ["seg", "value"]).withColumn("distance", hamming(F.col("query"), F.col("code"))).where("distance <= kth")
         # A code is met in each segment at this radius; the first of those counts, and none that an earlier radius had.
@@ -103,9 +105,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "e
         if old is not None:
             discard(old)
         kth = best.where(F.col("n") == k).select("query", F.col("distance").alias("at"))
-        covered = len(segs) * (radius + 1) - 1
-        left = asked.select("query").distinct().join(kth, "query", "left").select("query", F.coalesce("at", F.lit(n_words * WORD)).alias("kth"), F.col("at").isNull().alias("short"))
-        active = materialize(left.where(F.col("short") | (F.col("kth") > covered)).drop("short"))
+        # A query whose last k-th distance was within reach of this round is done, since its k-th has only come nearer.
+        reach = len(segs) * (radius + 1) - 1
+        left = active.where(F.col("kth") > reach).select("query").join(kth, "query", "left")
+        active = materialize(left.where(F.col("at").isNull() | (F.col("at") > reach)).select("query", F.coalesce("at", F.lit(n_words * WORD)).alias("kth")))
         if active.isEmpty():
             break
     if best is None:
