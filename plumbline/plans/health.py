@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import round_half_up_py
 from plumbline.operators import gate as gates
 from plumbline.operators import graph, metrics
+from plumbline.scratch import materialize
 from plumbline.sources import config as cfg
 from plumbline.sources.tool_json import Registry, ToolOutput, default_registry
 
@@ -36,11 +37,16 @@ class ProjectsResult:
     score: float | None
 
 
+def metrics_of(tools: ToolOutput) -> DataFrame:
+    """The five metrics of all projects. The edges are read from their source once; nodes and structure both start from the table made of them."""
+    edges = materialize(graph.distinct_edges(tools.edges))
+    nodes = graph.build_nodes(tools.modules, edges, tools.file_stats)
+    return metrics.compute_metrics(nodes, graph.structure(edges, nodes))
+
+
 def score_frames(tools: ToolOutput, metric_config: DataFrame) -> DataFrame:
     """project_scores of the frames of all projects."""
-    nodes = graph.build_nodes(tools.modules, tools.edges, tools.file_stats)
-    wide = metrics.compute_metrics(nodes, graph.structure(tools.edges, nodes))
-    return metrics.project_scores(metrics.metric_scores(wide, metric_config))
+    return metrics.project_scores(metrics.metric_scores(metrics_of(tools), metric_config))
 
 
 def scan_projects(spark: SparkSession, config: dict, registry: Registry | None = None) -> ProjectsResult:

@@ -11,8 +11,9 @@ from plumbline.functions.scalars import is_code_language, is_external, round_hal
 from plumbline.functions.stats import PERCENTS, distribution, percentile, percentiles
 from plumbline.operators import gate, graph, metrics
 from plumbline.plans.brand_graph import brand_config, brand_output, raw_edges
-from plumbline.plans.health import gate_frame
+from plumbline.plans.health import gate_frame, metrics_of
 from plumbline.schemas import CODE_LANGUAGES, METRICS
+from plumbline.scratch import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 _MADE: dict[str, tuple[Query, str | None]] = {}
@@ -100,7 +101,9 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.structure(raw_edges(spark, sf_dir), _nodes(spark, sf_dir))
+    t = brand_output(spark, sf_dir)
+    edges = materialize(graph.distinct_edges(t.edges))
+    return graph.structure(edges, graph.build_nodes(t.modules, edges, t.file_stats))
 
 
 @_query(_sql(_NODES, "SELECT project, node, loc, complexity FROM nodes"))
@@ -190,9 +193,7 @@ def dep_depth_p75(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = brand_output(spark, sf_dir)
-    nodes = graph.build_nodes(t.modules, t.edges, t.file_stats)
-    return metrics.compute_metrics(nodes, graph.structure(t.edges, nodes))
+    return metrics_of(brand_output(spark, sf_dir))
 
 
 @_query(_sql(_METRICS, "SELECT project, " + ", ".join(f'"{m}"' for m in METRICS) + " FROM wide"))
