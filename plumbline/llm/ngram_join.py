@@ -164,10 +164,12 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", simi
     grouped = materialize(components(stars))
     groups = grouped.select(F.col("node").alias("key"), "root").unionByName(grouped.select(F.col("root").alias("key"), "root").distinct())
 
-    members = reps.join(groups, "key").select("key", "rep_id", "copies", "n_grams", "root")
+    members = materialize(reps.join(groups, "key").select("key", "rep_id", "copies", "n_grams", "root"))
+    # Tables of their own on both sides of a join let Spark split a group or text with very many rows.
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("n_blocks"))
-    members = materialize(members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int")))
-    rows_differ = signed.join(members.select("key"), "key", "left_semi").groupBy("key", "doc_id").count().where("count > 1").isEmpty()
+    members = materialize(members.join(materialize(sizes), "root").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int")))
+    repeated = worded.groupBy("key", "doc_id").count().where("count > 1")
+    rows_differ = repeated.join(members.select("key"), "key", "left_semi").isEmpty()
     wanted = members.select(F.col("key").alias("k"), "rep_id", "copies", "root", "n_blocks", "block")
     # One row a text: that of its least id.
     texts = source.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).drop("doc_id", "rep_id", "k")
