@@ -90,6 +90,17 @@ def source_schedule(spark: SparkSession, targets: DataFrame, n_slots: int) -> Da
     )
 
 
+def filled_schedule(schedule: DataFrame, targets: DataFrame, n_slots: int, block: int) -> DataFrame:
+    """``schedule`` and, after its ``n_slots`` slots, those that a source lacks for all blocks of its target."""
+    have = schedule.groupBy("source").agg(F.count("*").alias("_have"))
+    lacking = targets.alias("t").join(have.alias("h"), F.col("t.source").eqNullSafe(F.col("h.source")), "left").select("t.source", F.coalesce("_have", F.lit(0)).alias("_have"), F.ceil(F.ceil("target") / block).alias("_need")).where("_need > _have")
+    # One row a source meets in the window, as in the targets.
+    up_to = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    first = n_slots + F.coalesce(F.sum(F.col("_need") - F.col("_have")).over(up_to), F.lit(0))
+    more = lacking.withColumn("_first", first).withColumn("rank", F.explode(F.sequence("_have", F.col("_need") - 1)))
+    return schedule.unionByName(more.select((F.col("_first") + F.col("rank") - F.col("_have")).alias("slot"), "source", "rank"))
+
+
 def mix_sources(
     docs: DataFrame,
     text: str = "text",
@@ -101,6 +112,7 @@ def mix_sources(
     slots: int = 1 << 16,
     slots_a_source: int = 1 << 12,
     seed: str = "mix",
+    fill: bool = True,
 ) -> Mix:
     """Mix whole ``docs`` to the targets of :func:`source_targets`.
 
@@ -109,7 +121,9 @@ def mix_sources(
     document, repeats counted. A null text has size 0, a null source is a source, null ids are
     shuffled like others, and equal rows each get a row of their own. Documents
     of size 0 are never taken. An empty table gives empty results. Other
-    columns of ``docs`` are ignored.
+    columns of ``docs`` are ignored. With ``fill`` each source reaches its
+    target, rounded up; without it a source takes no more blocks than the
+    sequence has slots for it, and a source of less than a block may take none.
     """
     spark = docs.sparkSession
     t = whole_text(text)
@@ -125,7 +139,11 @@ def mix_sources(
     # Of whole numbers, so that it is the same whatever the order of addition.
     total = math.ceil(min(share, repeats) * words)
     block = max(1, -(-total // max(slots, slots_a_source * n_sources)))
-    schedule = materialize(source_schedule(spark, targets, -(-total // block)))
+    n_slots = -(-total // block)
+    schedule = source_schedule(spark, targets, n_slots)
+    if fill:
+        schedule = filled_schedule(materialize(schedule), targets, n_slots, block)
+    schedule = materialize(schedule)
 
     bucket = F.shiftright("_key", BUCKET_SHIFT)
     in_bucket = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)

@@ -28,7 +28,8 @@ def op3_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    takes = mixing.mix_sources(table(spark, sf_dir, "documents")).takes
+    # Its SQL takes no more blocks than the sequence has slots for a source.
+    takes = mixing.mix_sources(table(spark, sf_dir, "documents"), fill=False).takes
     return takes.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -79,6 +79,25 @@ def test_mix_odd_rows(spark):
     assert [r.taken for r in mixing.mix_sources(make(spark, [(1, None), (2, "")])).takes.collect()] == [0, 0]
 
 
+def test_mix_fills_small_sources(spark):
+    rnd = random.Random(4)
+    docs = [(i, prose(rnd, rnd.randrange(1, 400)), "en", rnd.choice(["big", "b", "c"])) for i in range(120)]
+    docs += [(500 + i, prose(rnd, 3), "en", f"tiny{i}") for i in range(4)] + [(600, "one", "en", None), (601, "", "en", "void")]
+    mix = mixing.mix_sources(make(spark, docs), slots=40, slots_a_source=4)
+    sizes = Counter()
+    for _, t, _, s in docs:
+        sizes[s] += len(words(t))
+    taken = Counter()
+    for r in mix.takes.collect():
+        taken[r.source] += r.taken
+    assert mix.block > 100
+    assert taken == Counter({s: math.ceil(t - 1e-9) for s, t in brute_targets(sizes).items()})
+    rows = mix.schedule.collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    for s in sizes:
+        assert [r["rank"] for r in sorted(rows, key=lambda r: r.slot) if r.source == s] == list(range(sum(r.source == s for r in rows)))
+
+
 # --- secrets --------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

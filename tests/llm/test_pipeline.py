@@ -92,6 +92,13 @@ def test_stages(spark, corpus, tmp_path):
             assert sum(r.n_tokens for r in rows) * 4 == sum(len(r.token_ids) for r in rows)
 
 
+def test_mixing_stage_keeps_sources_below_a_block(spark):
+    rnd = random.Random(22)
+    docs = [(i, prose(rnd, 2000), "en", f"s{i % 3}") for i in range(300)] + [(900 + i, f"word{i}", "en", f"t{i}") for i in range(4)] + [(990, "alone", "en", None)]
+    rows = pipeline.mixing_stage(spark, make(spark, docs), "").where("doc_id >= 900").collect()
+    assert Counter(r.doc_id for r in rows) == Counter({i: 2 for i in (900, 901, 902, 903, 990)})
+
+
 def test_run_on_little(spark, tmp_path):
     for name, df in (("documents", make(spark, [])), ("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int"))):
         df.write.parquet(str(tmp_path / f"{name}.parquet"))
