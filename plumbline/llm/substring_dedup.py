@@ -1,8 +1,9 @@
-"""Substring dedup by content-defined chunks.
+"""Substring dedup by content-defined seeds and exact windows of words.
 
-A gear rolling hash cuts each text where the last bytes say so, so an insertion
-moves only the cuts beside it. Chunks of equal 128-bit digest are duplicates; runs of
-them are repeated passages, and all but the first occurrence can go.
+Of all n-grams in each window of words the least by hash is a seed, so a passage
+has the same seeds wherever it stands, and each window has one. Seeds that occur
+twice say where windows may repeat; there every window is compared by 128-bit
+digest. What repeated windows cover are passages; all but the first occurrence can go.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import materialize, release, small_batches, whole_text
-from plumbline.llm.shingles import blocks, mix, text_bytes
+from plumbline.llm.shingles import blocks, gram_hashes, mix, text_bytes, word_hashes
 
 #: Bytes that the rolling hash sees, and the shortest and longest chunk; characters and words of a chunk fit a byte.
 WINDOW, LEAST, MOST = 16, 24, 160
@@ -82,67 +83,159 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return row_a, chars[begin_a] - base, chars[end_a] - chars[begin_a], words[end_a] - words[begin_a], signed(d1), signed(d2)
 
 
-def chunk_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, piece, d1, d2) of each chunk of (doc_id, k, text); piece is start << 16 | characters << 8 | words."""
+def seed_words(min_words: int) -> tuple[int, int]:
+    """(words of a seed, seeds to choose from in a window of ``min_words`` words)."""
+    size = (min_words + 1) // 2
+    return size, min_words - size + 1
+
+
+def seeds(texts: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
+    """(row, place, hash) of the seeds: of each window the least hash, the last of equal ones; places in words."""
+    size, among = seed_words(min_words)
+    grams, ends = gram_hashes(*word_hashes(texts), size)
+    owner = np.repeat(np.arange(len(texts)), np.diff(ends))
+    total = max(len(grams) - among + 1, 0)
+    least, at = grams[:total].copy(), np.arange(total)
+    for j in range(1, among):
+        lower = grams[j : j + total] <= least
+        least[lower] = grams[j : j + total][lower]
+        at[lower] = np.flatnonzero(lower) + j
+    at = np.unique(at[owner[:total] == owner[among - 1 : among - 1 + total]])
+    return owner[at], at - ends[owner[at]], grams[at].view(np.int64)
+
+
+def windows(texts: pa.Array, row: np.ndarray, place: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """(row, start, end, start of the next word, digest 1, digest 2) of the windows of words around seeds (row, place).
+
+    Starts and ends are in code points; the text's end stands for a next word that isn't there.
+    """
+    data, offsets = text_bytes(texts)
+    words, counts = word_hashes(texts)
+    d1, ends = gram_hashes(words, counts, min_words)
+    d2, _ = gram_hashes(mix(words ^ np.uint64(0x5851F42D4C957F2D)), counts, min_words)
+    owner = np.repeat(np.arange(len(texts)), np.diff(ends))
+    size, among = seed_words(min_words)
+    change = np.zeros(len(d1) + 1, np.int64)
+    np.add.at(change, ends[row] + np.maximum(place - among + 1, 0), 1)
+    np.add.at(change, np.minimum(ends[row] + place + 1, ends[row + 1]), -1)
+    chosen = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+    of = owner[chosen]
+    solid = ~np.isin(data, np.array([0x20, 9, 10, 11, 12, 13], np.uint8))
+    opens = np.zeros(len(data) + 1, bool)
+    opens[offsets] = True
+    begins, stops = solid.copy(), solid.copy()
+    begins[1:] &= ~solid[:-1] | opens[1:-1]
+    stops[:-1] &= ~solid[1:] | opens[1:-1]
+    a, b = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    first = counts[of] + chosen - ends[of]
+    after = np.where(first + min_words < counts[of + 1], np.append(a, 0)[np.minimum(first + min_words, len(a))], offsets[of + 1])
+    at = [chars[x] - chars[offsets[of]] for x in (a[first], b[first + min_words - 1], after)]
+    return of, *at, d1[chosen].view(np.int64), d2[chosen].view(np.int64)
+
+
+def union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans, sorted, that cover the same as the given ones and don't touch."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    cut = np.flatnonzero(start[1:] > end[:-1])
+    return start[np.append(0, cut + 1)[: len(start)]], end[np.append(cut, len(end) - 1)[: len(end)]]
+
+
+def removable_spans(start: np.ndarray, end: np.ndarray, after: np.ndarray, is_first: np.ndarray) -> list[tuple[int, int]]:
+    """What windows that aren't first cover and first ones don't; white space after a first window is left with it."""
+    keep_from, keep_to = union(start[is_first], after[is_first])
+    out = []
+    for a, b in zip(*(x.tolist() for x in union(start[~is_first], end[~is_first])), strict=True):
+        for i in range(int(np.searchsorted(keep_to, a, "right")), int(np.searchsorted(keep_from, b))):
+            if keep_from[i] > a:
+                out.append((a, int(keep_from[i])))
+            a = int(keep_to[i])
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def _seeded(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, k, place, h) of each seed of (doc_id, k, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text", 1_000_000):
-                row, start, chars, words, d1, d2 = chunks(part.column("text"))
+                row, place, h = seeds(part.column("text"), min_words)
                 ids = [part.column(c).take(pa.array(row)) for c in ("doc_id", "k")]
-                rest = [pa.array(x) for x in (start << 16 | chars << 8 | words, d1, d2)]
-                yield pa.RecordBatch.from_arrays([*ids, *rest], ["doc_id", "k", "piece", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(place, pa.int32()), pa.array(h)], ["doc_id", "k", "place", "h"])
         release()
 
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", "k", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, piece long, d1 long, d2 long")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, place int, h long")
+
 
+def _windowed(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, k, piece, gap, d1, d2) of the windows around ``places`` of (doc_id, k, text, places).
 
-def _runs(pieces: Column, min_words: int) -> Column:
-    """Spans of neighbouring pieces, in order, with at least ``min_words`` words."""
-    long = lambda n: F.lit(n).cast("bigint")
-    empty = F.struct(F.array().cast("array<struct<start:bigint,end:bigint>>").alias("done"), long(-1).alias("start"), long(-1).alias("end"), long(0).alias("words"))
+    piece is start << 32 | end, gap the characters from the end to the next word.
+    """
+    names = ["doc_id", "k", "piece", "gap", "d1", "d2"]
 
-    def closed(s: Column) -> Column:
-        span = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))
-        return F.when(s["words"] >= min_words, F.concat(s["done"], span)).otherwise(s["done"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, "text", 1_000_000):
+                places = part.column("places")
+                row = np.repeat(np.arange(len(part)), places.value_lengths().to_numpy(zero_copy_only=False))
+                of, start, end, after, d1, d2 = windows(part.column("text"), row, places.flatten().to_numpy().astype(np.int64), min_words)
+                ids = [part.column(c).take(pa.array(of)) for c in ("doc_id", "k")]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(start << 32 | end), pa.array(after - end, pa.int32()), pa.array(d1), pa.array(d2)], names)
+        release()
 
-    def step(s: Column, p: Column) -> Column:
-        start = F.shiftright(p["piece"], 16)
-        goes_on = start == s["end"]
-        return F.struct(
-            F.when(goes_on, s["done"]).otherwise(closed(s)).alias("done"),
-            F.when(goes_on, s["start"]).otherwise(start).alias("start"),
-            (start + F.shiftright(p["piece"], 8).bitwiseAND(long(255))).alias("end"),
-            (F.when(goes_on, s["words"]).otherwise(long(0)) + p["piece"].bitwiseAND(long(255))).alias("words"),
-        )
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, piece long, gap int, d1 long, d2 long")
 
-    return F.aggregate(pieces, empty, step, closed)
+
+def _spans(by_doc: DataFrame) -> DataFrame:
+    """(doc_id, k, repeated, removable) of (doc_id, k, pieces)."""
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shown = lambda pairs: [{"start": a, "end": b} for a, b in pairs]
+        for batch in batches:
+            pieces = batch.column("pieces")
+            ends = np.cumsum(pieces.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            flat = pieces.flatten()
+            piece, gap, is_first = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            start, end = piece >> 32, piece & 0xFFFFFFFF
+            repeated, removable = [], []
+            for a, b in zip([0, *ends], ends, strict=False):
+                repeated.append(shown(zip(*(x.tolist() for x in union(start[a:b], end[a:b])), strict=True)))
+                removable.append(shown(removable_spans(start[a:b], end[a:b], end[a:b] + gap[a:b], is_first[a:b])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), pa.array(repeated, spans), pa.array(removable, spans)], ["doc_id", "k", "repeated", "removable"])
+
+    kind = "array<struct<start:bigint,end:bigint>>"
+    return by_doc.mapInArrow(run, f"doc_id {by_doc.schema['doc_id'].dataType.simpleString()}, k long, repeated {kind}, removable {kind}")
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 20) -> DataFrame:
-    """Passages that occur more than once, for each document that has any.
+    """Passages of ``min_words`` words or more that occur more than once, for each document that has any.
 
     Returns doc_id, k (a hash of the text), ``repeated`` and ``removable``: spans
-    (start, end) in code points of runs of duplicate chunks with ``min_words``
-    words or more, and of those runs of which each chunk has an earlier
-    occurrence, by document id (null last), text and place. What a passage has
-    before its first and after its last whole chunk isn't in its span, so
-    passages of 50 words are found by a lower ``min_words``. Rows with equal id
-    and text share one row and keep their first occurrence. Null and empty
-    texts and an empty table give nothing; other columns are ignored.
+    (start, end) in code points of what windows of ``min_words`` words cover that
+    occur more than once, and of what those of them cover that have an earlier
+    occurrence, by document id (null last), text and place, but no first one, so
+    that each window stays whole in its first occurrence. Words are compared, not
+    the white space between them. Rows with equal id and text share one row and
+    keep their first occurrence. Null and empty texts and an empty table give
+    nothing; other columns are ignored.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole_text(text)).alias("k"), whole_text(text).alias("text"))
-    # Read and cut twice rather than kept: the chunks are more than the texts.
-    every = chunk_documents(source)
+    small_batches(docs.sparkSession)
+    every = _seeded(source, min_words)
+    # Tables of their own, so that both sides of a join are dealt for it and a hash with very many rows can be split.
+    twice = materialize(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    places = materialize(every.join(twice, "h").groupBy("doc_id", "k").agg(F.collect_set("place").alias("places")))
+    wanted = source.alias("s").join(places.alias("p"), F.col("s.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("s.k") == F.col("p.k")))
+    found = materialize(_windowed(wanted.select("s.doc_id", "s.k", "text", "places"), min_words))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k", "piece")
-    twice = every.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("d1", "d2", "first")
-    # A table of its own, so that both sides of the join are dealt for it and a digest with very many rows can be split.
-    twice = materialize(twice)
-    found = every.join(twice, ["d1", "d2"]).select("doc_id", "k", "piece", (place == F.col("first")).alias("is_first"))
-    by_doc = found.groupBy("doc_id", "k").agg(F.sort_array(F.collect_set(F.struct("piece", "is_first"))).alias("pieces"))
-    spans = by_doc.select("doc_id", "k", _runs(F.col("pieces"), min_words).alias("repeated"), _runs(F.filter("pieces", lambda p: ~p["is_first"]), min_words).alias("removable"))
-    return spans.where(F.size("repeated") > 0)
+    same = materialize(found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("d1", "d2", "first"))
+    by_doc = found.join(same, ["d1", "d2"]).groupBy("doc_id", "k").agg(F.collect_list(F.struct("piece", "gap", (place == F.col("first")).alias("is_first"))).alias("pieces"))
+    return _spans(by_doc)
 
 
 def remove_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 20) -> DataFrame:

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import itertools
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -390,3 +391,40 @@ def test_substrings_of_odd_rows(spark):
     assert out.count() == len(docs)
     assert {r.text for r in out.where("doc_id = 4").collect()} == {docs[3][1]}
     assert {r.text for r in out.where("doc_id = 5").collect()} == {""}
+
+
+def brute_passages(docs, n=20):
+    """Spans that repeated windows of n words cover, by document."""
+    at = defaultdict(set)
+    spans = {i: [m.span() for m in re.finditer(r"[^ \t-\r]+", t)] for i, t in docs}
+    for i, t in docs:
+        for j in range(len(spans[i]) - n + 1):
+            at[tuple(words(t)[j : j + n])].add((i, j))
+    out = defaultdict(list)
+    for i, j in sorted(p for own in at.values() if len(own) > 1 for p in own):
+        a, b = spans[i][j][0], spans[i][j + n - 1][1]
+        if out[i] and out[i][-1][1] >= a:
+            out[i][-1] = (out[i][-1][0], b)
+        else:
+            out[i].append((a, b))
+    return dict(out)
+
+
+def test_passages_are_whole_and_exact(spark):
+    rnd = random.Random(19)
+    short = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(1, 5))) for _ in range(n))
+    docs = []
+    for i in range(150):
+        passage = short((20, 51)[i % 2])
+        docs += [(2 * i + j, f"{short(rnd.randrange(70))} é {passage} {short(rnd.randrange(70))}") for j in range(2)]
+    docs += [(400, "x " + "la " * 60 + "y"), (401, "la di " * 40), (402, short(19) + " q"), (403, "never twice " + short(30))]
+    docs.append((404, docs[-2][1][:-2] + " z"))
+    rows = {r.doc_id: r for r in substring_dedup.repeated_passages(make(spark, docs)).collect()}
+    want = brute_passages(docs)
+    assert {i: [tuple(s) for s in r.repeated] for i, r in rows.items()} == want
+    assert all(bool(rows[i].removable) == (i % 2 == 1) for i in range(300))
+    cleaned = [(r.doc_id, r.text) for r in substring_dedup.remove_passages(make(spark, docs)).collect()]
+    windows = lambda rows: {tuple(words(t)[j : j + 20]) for _, t in rows for j in range(len(words(t)) - 19)}
+    repeated = {w for i, t in docs for a, b in want.get(i, []) for w in windows([(i, t[a:b])])}
+    assert repeated <= windows(cleaned)
+    assert brute_passages(cleaned) == {}
