@@ -21,7 +21,11 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Runs with '=' at the end only; the look-ahead sees past it, so that lengths are looked at again.
+TOKEN = r"(?=[A-Za-z0-9+/_=-]{20})[A-Za-z0-9+/_-]+=*"
+#: What a run that fits no encoding is taken apart into, in this order.
+PARTS = (r"(?=[A-Za-z0-9_=-]{20})[A-Za-z0-9_-]+=*", r"(?=[A-Za-z0-9+/=]{20})[A-Za-z0-9+/]+=*", r"(?=[A-Za-z0-9=]{20})[A-Za-z0-9]+=*")
+LEAST_TOKEN = 20
 #: Encodings by name, pattern that the whole token must match, and alphabet in order; the first that fits is taken.
 ENCODINGS = (
     ("hex", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", "0123456789abcdef"),
@@ -58,6 +62,22 @@ def find_spans(text: Column, pattern: str) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
 
 
+def find_tokens(text: Column) -> Column:
+    """Spans of tokens that fit an encoding: whole runs, and parts of those runs that fit none."""
+    fits = lambda v: F.exists(F.array(*[v.rlike(pattern) for _, pattern, _ in ENCODINGS]), lambda x: x)
+    long = lambda spans: F.filter(spans, lambda s: F.length(s["value"]) >= LEAST_TOKEN)
+
+    def apart(run: Column) -> Column:
+        out = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+        for pattern in PARTS:
+            fit = F.filter(long(find_spans(run["value"], pattern)), lambda s: fits(s["value"]))
+            fit = F.transform(fit, lambda s: F.struct((run["start"] + s["start"]).alias("start"), (run["start"] + s["end"]).alias("end"), s["value"].alias("value")))
+            out = let(F.struct(out.alias("out"), fit.alias("fit")), lambda p: F.concat(p["out"], F.filter(p["fit"], lambda s: ~F.exists(p["out"], lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))))
+        return out
+
+    return F.sort_array(F.flatten(F.transform(long(find_spans(text, TOKEN)), lambda r: F.when(fits(r["value"]), F.array(r)).otherwise(apart(r)))))
+
+
 def _normal_tail(z: Column) -> Column:
     """P(Z > z), to within 0.0002."""
     return 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
@@ -155,7 +175,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ma
     scanned = docs.select(F.col(doc_id).alias("doc_id"), t.alias("_t")).select(
         "doc_id",
         F.sort_array(F.concat(*[base(i) for i in range(len(BASE))])).cast(struct).alias("base"),
-        F.filter(F.transform(find_spans(F.col("_t"), TOKEN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(s["value"]).alias("test"))), lambda c: c["test"].isNotNull()).alias("tokens"),
+        F.filter(F.transform(find_tokens(F.col("_t")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(s["value"]).alias("test"))), lambda c: c["test"].isNotNull()).alias("tokens"),
     )
     scanned = materialize(scanned)
     band = lambda n: F.least(F.floor(F.log2(n.cast("double"))), F.lit(MAX_BAND)).cast("int")

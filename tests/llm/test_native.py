@@ -176,6 +176,21 @@ def test_added_spans_are_random_tokens(spark):
     assert got[300] == []
 
 
+def test_tokens_of_assignments_and_mixed_runs(spark):
+    rnd = random.Random(12)
+    lower, b64 = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = lambda letters: "".join(rnd.choice(letters) for _ in range(40))
+    shapes = [("AWS_ACCESS=", b64, ""), ("x?sig=", b64, "=="), ("live_", lower, ""), ("a/b-c_d/", lower, ""), ("pre-fix+", b64[:62], "/tail_")]
+    docs = [(100 * i + j, f"é {before}", key(letters), f"{after} end") for i, (before, letters, after) in enumerate(shapes) for j in range(60)]
+    got = {r.doc_id: r.added for r in secret_scan.scan_secrets(make(spark, [(i, a + k + b) for i, a, k, b in docs])).collect()}
+    for n in range(len(shapes)):
+        own = [(got[i], len(a), len(a + k) + b.count("=")) for i, a, k, b in docs if i // 100 == n]
+        assert sum(bool(spans) for spans, _, _ in own) >= 48, n
+        assert all((s.start, s.end) == (a, b) for spans, a, b in own for s in spans), n
+    rows = spark.createDataFrame([("A=" + "B1b" * 6 + "== " + "c" * 19 + "=d " + "D-4" * 9 + "=e",)], "t string").select(secret_scan.find_tokens(F.col("t")).alias("f"))
+    assert [s.value for s in rows.first().f] == ["B1b" * 6 + "=="]
+
+
 # --- quality rules ----------------------------------------------------------------
 
 
