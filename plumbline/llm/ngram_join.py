@@ -149,6 +149,11 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", simi
     threshold shares one with probability ``recall``; pairs of a candidate group
     are all verified, so that no link within it is lost.
     """
+    return _joined(docs, text, doc_id, similarity, recall, rows).drop("class")
+
+
+def _joined(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8, recall: float = 0.9999, rows: int = 5) -> DataFrame:
+    """The rows of :func:`ngram_join` with ``class``, the key of the class's root; null without words."""
     small_batches(docs.sparkSession)
     bands = choose_bands(similarity, recall, rows)
     source = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")).select("doc_id", _key("text").alias("key"), "text")
@@ -184,12 +189,13 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", simi
     named = reps.select("key", "rep_id", "copies").join(linked, "key", "left").join(joined.withColumnsRenamed({"node": "key", "root": "class"}), "key", "left")
     named = named.withColumn("class", F.coalesce("class", "key"))
     least = named.groupBy("class").agg(F.min("rep_id").alias("class_id"))
-    by_text = named.join(least, "class").select("key", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    by_text = named.join(least, "class").select("key", "class", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     return signed.select("doc_id", "key", "n_words").join(by_text, "key", "left").select(
         "doc_id", "key",
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        "class",
     )
 
 
@@ -199,14 +205,14 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
     Rows with a null id stay only where their class has no other id.
     """
     key = _key("_text")
-    judged = ngram_join(docs, text, doc_id, **options)
+    judged = _joined(docs, text, doc_id, **options).where(F.col("class").isNotNull())
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))
-    # A class of null ids only is its texts' own.
-    classed = judged.withColumn("_class", F.coalesce(F.col("class_id").cast("string"), "key"))
-    chosen = materialize(classed.groupBy("_class").agg(best.alias("b"), F.count("*").alias("n")).select("b.doc_id", "b.key"))
+    chosen = materialize(judged.groupBy("class").agg(best.alias("b")).select("b.doc_id", "b.key"))
     repeated = not judged.groupBy("doc_id", "key").count().where("count > 1").isEmpty()
     rows = docs.withColumn("_text", whole_text(text)).withColumn("_key", key).drop("_text")
-    out = rows.alias("r").join(chosen.alias("c"), F.col(f"r.{doc_id}").eqNullSafe(F.col("c.doc_id")) & (F.col("r._key") == F.col("c.key")), "left_semi")
+    blank = F.btrim(whole_text(text), F.lit(" \t\n\x0b\x0c\r")) == ""
+    out = rows.where(~blank).alias("r").join(chosen.alias("c"), F.col(f"r.{doc_id}").eqNullSafe(F.col("c.doc_id")) & (F.col("r._key") == F.col("c.key")), "left_semi")
     if repeated:
         out = out.dropDuplicates([doc_id, "_key"])
+    out = out.unionByName(rows.where(blank))
     return out.drop("_key")
