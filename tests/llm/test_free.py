@@ -123,13 +123,6 @@ def test_keep_one(spark):
     assert sorted(str(r[0]) for r in rows if not words(r[1])) == sorted(str(d[0]) for d in docs if not words(d[1]))
 
 
-def test_keep_one_of_shared_ids(spark):
-    rnd = random.Random(23)
-    docs = [(1, prose(rnd, 50)), (1, prose(rnd, 50)), (2, ""), (2, ""), (2, " \n"), (2, None), (None, ""), (None, "")]
-    rows = [(r.doc_id, r.text) for r in ngram_join.keep_one(make(spark, docs)).collect()]
-    assert pairs(rows) == pairs(docs)
-
-
 def test_components(spark):
     rnd = random.Random(7)
     edges = [(f"n{rnd.randrange(150)}", f"n{rnd.randrange(150)}") for _ in range(110)] + [(f"c{i:04}", f"c{i + 1:04}") for i in range(60)] + [("s", f"t{i}") for i in range(50)]
