@@ -22,7 +22,7 @@ def let(value: Column, body) -> Column:
     Inside lambda functions an inlined expression would run once an element;
     a bound variable never does.
     """
-    return F.transform(F.array(value), body)[0]
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def word_count(text: Column) -> Column:

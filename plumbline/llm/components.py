@@ -8,17 +8,31 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import discard, materialize
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, m): the least neighbour of each node.
+
+    A table of its own: the minimum is taken before edges are dealt, and a join
+    with it can split a node of very many edges, which it couldn't if it shared
+    its dealing with this aggregate.
+    """
+    return materialize(edges.groupBy("a").agg(F.min("b").alias("m")))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = _least(both)
+    out = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
+    discard(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    to_least = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return to_least.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    # A large star's edges go from a node to a lesser one.
+    least = _least(edges)
+    to_least = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = materialize(to_least.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+    discard(least)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -34,9 +48,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select("a", "b").where("a <> b").distinct())
     mark = _mark(now)
     while mark[0]:
-        new = materialize(_small_star(_large_star(now)))
+        large = _large_star(now)
         discard(now)
-        now, old = new, mark
+        now, old = _small_star(large), mark
+        discard(large)
         mark = _mark(now)
         if mark == old:
             break

@@ -116,15 +116,17 @@ def resample(docs: DataFrame, target: DataFrame, share: float, text: str = "text
     equal priorities and share a draw, so ties at the last place are all kept.
     Documents without words, null texts among them, have no evidence: they are
     not drawn and don't count in k. An empty table gives no rows, an empty
-    target keeps all that have words. Other columns are ignored; with
-    ``keep_rows`` the columns of ``docs`` are returned with those above (which
-    replace any of their names), and the texts are scored a second time rather
-    than joined.
+    target keeps all that have words. Texts of any length count whole. Other
+    columns are ignored; with ``keep_rows`` the columns of ``docs`` are returned
+    with n_grams, log_weight, priority and kept (which replace columns of those
+    names), and the texts are scored a second time rather than joined.
     """
     small_batches(docs.sparkSession)
-    made = ["n_grams", "log_weight", "priority", "kept", "_rank", "_scored"]
+    made = ["n_grams", "log_weight", "priority", "kept"]
+    kept = [c for c in docs.columns if c not in made]
     noise = gumbel([F.coalesce(F.col(doc_id), F.lit(-1).cast("long")), F.xxhash64(whole_text(text))], seed).alias("_noise")
-    rows = docs.select(*([c for c in docs.columns if c not in made] if keep_rows else [F.col(doc_id).alias("doc_id")]), noise, whole_text(text).alias("_scored"))
+    # The row is one column beside those made here, so that no name of it can clash.
+    rows = docs.select(F.struct(*kept).alias("row") if keep_rows else F.col(doc_id).alias("doc_id"), noise, whole_text(text).alias("_scored"))
     wanted = bucket_counts(target, "text")
     ratios = log_ratios(wanted, bucket_counts(rows, "_scored")) if wanted.any() else np.zeros(BUCKETS)
 
@@ -138,20 +140,23 @@ def resample(docs: DataFrame, target: DataFrame, share: float, text: str = "text
     least = top_k_threshold(worded, "_rank", round(share * worded.count())) if wanted.any() else None
     out = ranked(rows) if keep_rows else narrow
     chosen = F.col("_rank") >= F.lit(least) if least is not None else F.lit(not wanted.any())
-    return out.withColumn("kept", (F.col("n_grams") > 0) & F.coalesce(chosen, F.lit(False))).drop("_rank")
+    marks = ["n_grams", "log_weight", "priority", ((F.col("n_grams") > 0) & F.coalesce(chosen, F.lit(False))).alias("kept")]
+    return out.select(*([F.col("row")[c].alias(c) for c in kept] if keep_rows else ["doc_id"]), *marks)
 
 
 def labelled_target(docs: DataFrame, labels: DataFrame, max_rows: int = 50_000) -> tuple[DataFrame, float]:
     """Texts of labelled documents of good quality that aren't toxic, and the share of good quality among all labelled ones.
 
-    The target texts are of about ``max_rows`` labelled documents, chosen by a
-    hash of their id where there are more; the share is over all labels. A
-    document with several labels is good if one of them says so.
+    The target texts are of at most ``max_rows`` labelled documents, those of
+    least hash of their id where there are more; the share is over all labels. A
+    document with several labels is good if one of them says so. The chosen ids
+    are bounded by ``max_rows``, so they go to the documents by broadcast, and
+    no text is dealt anew.
     """
     good = F.col("quality") == 1
     one = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max(F.when(good, 1).otherwise(0)).alias("good"), F.max(F.when(good & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("target"))
     n, n_good = one.agg(F.count("*"), F.coalesce(F.sum("good"), F.lit(0))).first()
-    parts = max(1, -(-n // max_rows))
-    chosen = one.where((F.col("target") == 1) & (F.pmod(F.xxhash64(F.lit("target"), "doc_id"), F.lit(parts)) == 0))
-    texts = docs.join(chosen, "doc_id", "left_semi").select("text")
+    # A top-k by limit: each task hands on max_rows ids at most.
+    chosen = one.where("target = 1").select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64(F.lit("target"), "_id"), "_id").limit(max_rows)
+    texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(F.broadcast(chosen), F.col("_doc") == F.col("_id"), "left_semi").select("text")
     return texts, n_good / n if n else 1.0

@@ -31,8 +31,9 @@ def spread_lines(lines: DataFrame, min_sites: int, margin: float = 4 * ERROR) ->
     candidates = materialize(candidates)
     sure = candidates.where(F.col("estimate") > high).select("h1", "h2", "first")
     near = candidates.where(F.col("estimate") <= high).select("h1", "h2", "first")
-    # Distinct (line, site) rows come before the count, so a line with very many rows is spread by its sites.
-    exact = lines.join(near, ["h1", "h2"]).groupBy("h1", "h2", "first", "site").agg(F.lit(1).alias("one")).groupBy("h1", "h2", "first").agg(F.count("*").alias("n"))
+    # Dealt by line and site before they are made distinct: the join's own dealing, by line, would leave a line's rows to one task.
+    sited = lines.join(near, ["h1", "h2"]).repartition("h1", "h2", "site").groupBy("h1", "h2", "first", "site").agg(F.lit(1).alias("one"))
+    exact = sited.groupBy("h1", "h2", "first").agg(F.count("*").alias("n"))
     return sure.unionByName(exact.where(F.col("n") >= min_sites).select("h1", "h2", "first"))
 
 
@@ -45,26 +46,31 @@ def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", doc_i
 
     Lines are compared whole, without white space at their ends; lines without
     a word never count. A line of ``min_sites`` or more sites stays in its first
-    occurrence, by document id (null last), then text, then place. A null site
-    is a site; equal rows are changed alike; null and empty texts stay as they
-    are. An empty table gives no rows. Columns called n_lines or n_removed are replaced.
+    occurrence, by document id (null last), then a hash of the text, then place.
+    A null site is a site; equal rows are changed alike; null and empty texts
+    stay as they are. Texts and lines of any length are taken whole. An empty
+    table gives no rows. Columns called n_lines or n_removed are replaced; other
+    names don't matter.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    k1, k2 = text_key(whole_text(text))
-    lines = docs.select(
-        F.coalesce(F.concat(F.lit("="), F.col(site).cast("string")), F.lit("")).alias("site"),
-        F.col(doc_id).alias("id"), k1.alias("k1"), k2.alias("k2"), F.posexplode(_lines(whole_text(text))).alias("line_no", "line"),
+    # The row is one column beside those made here, so that no name of it can clash.
+    rows = docs.select(F.struct(*keep).alias("row"), *[k.alias(n) for k, n in zip(text_key(whole_text(text)), ("k1", "k2"), strict=True)])
+    body = F.col("row")[text]
+    own = F.col("row")[doc_id]
+    lines = rows.select(
+        F.coalesce(F.concat(F.lit("="), F.col("row")[site].cast("string")), F.lit("")).alias("site"),
+        own.alias("id"), "k1", "k2", F.posexplode(_lines(F.coalesce(body, F.lit("")))).alias("line_no", "line"),
     ).withColumn("line", F.btrim("line", F.lit(TRIMMED))).where("line <> ''")
     at = F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2", "line_no").alias("at")
     lines = materialize(lines.select("site", at, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2")))
     wide = materialize(spread_lines(lines, min_sites))
     extra = lines.join(wide, ["h1", "h2"]).where(F.col("at") != F.col("first"))
-    gone = materialize(extra.groupBy("at.id", "at.k1", "at.k2").agg(F.collect_set("at.line_no").alias("_gone")))
-    rows = docs.select(*keep).withColumns({"_k1": k1, "_k2": k2})
-    joined = rows.join(gone, F.col(doc_id).eqNullSafe(F.col("id")) & (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
-    left = F.array_join(F.filter(_lines(F.col(text)), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    gone = materialize(extra.groupBy("at.id", "at.k1", "at.k2").agg(F.collect_set("at.line_no").alias("gone")))
+    same = own.eqNullSafe(F.col("g.id")) & (F.col("r.k1") == F.col("g.k1")) & (F.col("r.k2") == F.col("g.k2"))
+    joined = rows.alias("r").join(gone.alias("g"), same, "left")
+    left = F.array_join(F.filter(_lines(body), lambda x, i: ~F.array_contains("gone", i)), "\n")
     return joined.select(
-        *[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else c for c in keep],
-        F.when(whole_text(text) == "", 0).otherwise(F.size(_lines(F.col(text)))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *[F.when(F.col("gone").isNull(), body).otherwise(left).alias(text) if c == text else F.col("row")[c].alias(c) for c in keep],
+        F.when(F.coalesce(body, F.lit("")) == "", 0).otherwise(F.size(_lines(body))).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

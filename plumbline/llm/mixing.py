@@ -35,9 +35,10 @@ class Mix:
     block: int
 
 
-def shuffle_key(doc_id: Column, seed: str) -> Column:
-    """52 bits that order documents at random, alike in every run."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
+def shuffle_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """52 bits that order documents at random, alike in every run; documents without an id go by their texts."""
+    named = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.md5(text)))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), named)), 1, 13), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
@@ -112,25 +113,25 @@ def mix_sources(
     slots: int = 1 << 16,
     slots_a_source: int = 1 << 12,
     seed: str = "mix",
-    fill: bool = True,
 ) -> Mix:
     """Mix whole ``docs`` to the targets of :func:`source_targets`.
 
     ``takes`` has doc_id, source, text_key (of the text, for joining back),
     size, source_size, target and taken: words that the mix takes of the
-    document, repeats counted. A null text has size 0, a null source is a source, null ids are
-    shuffled like others, and equal rows each get a row of their own. Documents
-    of size 0 are never taken. An empty table gives empty results. Other
-    columns of ``docs`` are ignored. With ``fill`` each source reaches its
-    target, rounded up; without it a source takes no more blocks than the
-    sequence has slots for it, and a source of less than a block may take none.
+    document, repeats counted. Each source reaches its target, rounded up,
+    however small it is beside the others: slots that the sequence lacks for it
+    follow at the end. A null text has size 0, a null source is a source, null
+    ids are shuffled by their texts, and equal rows each get a row of their own.
+    Documents of size 0 are never taken; one of any length is cut at the ends of
+    blocks and counts whole. An empty table gives empty results. Other columns
+    of ``docs`` are ignored, whatever their names.
     """
     spark = docs.sparkSession
     t = whole_text(text)
     sized = materialize(
         docs.select(
             F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(t).alias("text_key"),
-            word_count(t).alias("size"), shuffle_key(F.col(doc_id), seed).alias("_key"),
+            word_count(t).alias("size"), shuffle_key(F.col(doc_id), t, seed).alias("_key"),
         )
     )
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -140,10 +141,8 @@ def mix_sources(
     total = math.ceil(min(share, repeats) * words)
     block = max(1, -(-total // max(slots, slots_a_source * n_sources)))
     n_slots = -(-total // block)
-    schedule = source_schedule(spark, targets, n_slots)
-    if fill:
-        schedule = filled_schedule(materialize(schedule), targets, n_slots, block)
-    schedule = materialize(schedule)
+    schedule = materialize(source_schedule(spark, targets, n_slots))
+    schedule = materialize(filled_schedule(schedule, targets, n_slots, block))
 
     bucket = F.shiftright("_key", BUCKET_SHIFT)
     in_bucket = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import materialize, release, small_batches, text_key, whole_text
@@ -47,8 +47,8 @@ def signatures(grams: np.ndarray, counts: np.ndarray, bands: int, rows: int) ->
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(hashed.T).ravel().view(np.int64)))
 
 
-def _key(text: str):
-    a, b = text_key(F.col(text))
+def _key(text: Column) -> Column:
+    a, b = text_key(text)
     return F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
 
 
@@ -151,7 +151,7 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", simi
     """
     small_batches(docs.sparkSession)
     bands = choose_bands(similarity, recall, rows)
-    source = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")).select("doc_id", _key("text").alias("key"), "text")
+    source = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")).select("doc_id", _key(F.col("text")).alias("key"), "text")
     signed = materialize(_signed(source, bands, rows))
     worded = signed.where("n_words > 0")
     reps = materialize(worded.groupBy("key").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
@@ -194,19 +194,20 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", simi
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each class, the least by doc_id and then text; rows without words all stay.
+    """``docs`` with one row of each class, the least by doc_id and then a hash of the text; rows without words all stay.
 
-    Rows with a null id stay only where their class has no other id.
+    Rows with a null id stay only where their class has no other id. Of equal
+    rows one stays. Other columns are kept, whatever their names.
     """
-    key = _key("_text")
     judged = ngram_join(docs, text, doc_id, **options)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))
     # A class of null ids only is its texts' own.
-    classed = judged.withColumn("_class", F.coalesce(F.col("class_id").cast("string"), "key"))
-    chosen = materialize(classed.groupBy("_class").agg(best.alias("b"), F.count("*").alias("n")).select("b.doc_id", "b.key"))
+    classed = judged.withColumn("class", F.coalesce(F.col("class_id").cast("string"), "key"))
+    chosen = materialize(classed.groupBy("class").agg(best.alias("b")).select(F.col("b.doc_id").alias("best_id"), F.col("b.key").alias("best_key")))
     repeated = not judged.groupBy("doc_id", "key").count().where("count > 1").isEmpty()
-    rows = docs.withColumn("_text", whole_text(text)).withColumn("_key", key).drop("_text")
-    out = rows.alias("r").join(chosen.alias("c"), F.col(f"r.{doc_id}").eqNullSafe(F.col("c.doc_id")) & (F.col("r._key") == F.col("c.key")), "left_semi")
+    # The row is one column beside the others, so that no name of it can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), _key(whole_text(text)).alias("key"))
+    out = rows.join(chosen, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("key") == F.col("best_key")), "left_semi")
     if repeated:
-        out = out.dropDuplicates([doc_id, "_key"])
-    return out.drop("_key")
+        out = out.dropDuplicates(["id", "key"])
+    return out.select([F.col("row")[c].alias(c) for c in docs.columns])

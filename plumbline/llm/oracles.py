@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from plumbline.llm.mixing import POINTS, STEP
 from plumbline.llm.quality_rules import CLASSES, COMMON_WORDS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -27,6 +26,7 @@ WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(len(list_filter(range(1,
 SELECT query_id, rank, vec_id, distance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d) WHERE rank <= 10
 """
 
+#: Each source gives its whole target, of its shuffled documents and, beyond them, of the same again.
 MIX_SOURCES = rf"""
 WITH sized AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS key FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
@@ -35,16 +35,9 @@ ratios AS (SELECT *, row_number() OVER (ORDER BY cap / w::DOUBLE, source NULLS L
 levels AS (SELECT *, ((SELECT sum(source_size) FROM sizes)::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER before, 0)::DOUBLE) / ((SELECT sum(w) FROM ranked) - coalesce(sum(w) OVER before, 0))::DOUBLE AS level
   FROM ratios WINDOW before AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (SELECT source, source_size, CASE WHEN cap / w::DOUBLE < f.level THEN cap::DOUBLE ELSE f.level * w END AS target FROM levels, (SELECT arg_min(level, k) AS level FROM levels WHERE level <= cap / w::DOUBLE) f),
-totals AS (SELECT ceil(1.5::DOUBLE * sum(source_size)::DOUBLE)::BIGINT AS total, greatest(65536, 4096 * count(*)) AS slots FROM targets),
-plan AS (SELECT b AS block, (total + b - 1) // b AS n_slots FROM (SELECT total, greatest(1, (total + slots - 1) // slots) AS b FROM totals)),
-bounds AS (SELECT source, CASE WHEN lead(source_size) OVER o IS NULL THEN {POINTS} ELSE least({POINTS}, floor(sum(target) OVER o / (SELECT sum(target) FROM targets) * {POINTS}))::BIGINT END AS hi FROM targets WINDOW o AS (ORDER BY source NULLS LAST)),
-spans AS (SELECT source, coalesce(lag(hi) OVER (ORDER BY hi, source NULLS LAST), 0) AS lo, hi FROM bounds),
-points AS (SELECT range * {STEP} % {POINTS} AS p FROM plan, range(n_slots)),
-counts AS (SELECT s.source, count(*) AS n FROM spans s JOIN points ON p >= lo AND p < hi GROUP BY s.source),
-limits AS (SELECT t.*, least(ceil(t.target)::BIGINT, coalesce(c.n, 0) * (SELECT block FROM plan)) AS upto FROM targets t LEFT JOIN counts c ON c.source IS NOT DISTINCT FROM t.source),
 placed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS pos FROM sized)
-SELECT doc_id, size, l.source_size, l.target, CAST(greatest(0, least(pos + size, upto) - pos) + greatest(0, least(pos + size + l.source_size, upto) - pos - l.source_size) AS BIGINT) AS taken
-FROM placed p JOIN limits l ON l.source IS NOT DISTINCT FROM p.source
+SELECT doc_id, size, t.source_size, t.target, CAST(greatest(0, least(pos + size, ceil(t.target)::BIGINT) - pos) + greatest(0, least(pos + size + t.source_size, ceil(t.target)::BIGINT) - pos - t.source_size) AS BIGINT) AS taken
+FROM placed p JOIN targets t ON t.source IS NOT DISTINCT FROM p.source
 """
 
 LINE_DEDUP = r"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators make themselves.
-CLASHING = ["n_words", "kept", "priority", "log_weight", "n_grams", "taken", "key", "bands", "token_ids", "decoded", "n_removed", "h1", "site", "line", "k", "base", "tokens", "_words", "_lang", "rank", "_n", "_k1"]
+CLASHING = ["n_words", "kept", "priority", "log_weight", "n_grams", "taken", "key", "bands", "token_ids", "decoded", "n_removed", "h1", "site", "line", "k", "base", "tokens", "_words", "_lang", "rank", "_n", "_k1", "id", "k1", "k2", "gone", "_gone", "_noise", "_scored", "_rank", "times", "rows", "_id", "_doc", "_source", "_key", "_text", "row", "at", "first", "size", "start", "end", "span", "found", "passed", "words", "row_id"]
 
 
 def words(text):

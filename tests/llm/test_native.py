@@ -98,6 +98,18 @@ def test_mix_fills_small_sources(spark):
         assert [r["rank"] for r in sorted(rows, key=lambda r: r.slot) if r.source == s] == list(range(sum(r.source == s for r in rows)))
 
 
+def test_mix_of_sources_of_very_different_sizes(spark):
+    """A source of five words beside three million, and an empty one."""
+    rows = [(i, "w " * 1000, "en", "a") for i in range(3000)] + [(5000, "five words are in here", "en", "b"), (5001, "", "en", "d")] + [(6000 + i, "x " * 50, "en", "c") for i in range(10)] + [(7000, "lone", "en", None)]
+    taken, target = Counter(), {}
+    for r in mixing.mix_sources(make(spark, rows)).takes.collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r["size"]
+    assert (taken["b"], taken["c"], taken[None], taken["d"]) == (10, 1000, 2, 0)
+    assert all(abs(taken[s] - t) <= 1 for s, t in target.items())
+
+
 # --- secrets --------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

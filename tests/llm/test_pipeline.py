@@ -99,6 +99,20 @@ def test_mixing_stage_keeps_sources_below_a_block(spark):
     assert Counter(r.doc_id for r in rows) == Counter({i: 2 for i in (900, 901, 902, 903, 990)})
 
 
+def test_stages_keep_columns_of_any_name(spark, corpus):
+    folder, docs = corpus
+    df = make(spark, docs, clash=True)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, df, folder)
+        if name == "bpe":
+            assert out.count() == len(docs)
+            continue
+        plain = stage(spark, make(spark, docs), folder)
+        assert out.columns == df.columns
+        assert set(r.kept for r in out.select("kept").collect()) == {"clash"}
+        assert pairs(out.select(plain.columns).collect()) == pairs(plain.collect())
+
+
 def test_run_on_little(spark, tmp_path):
     for name, df in (("documents", make(spark, [])), ("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int"))):
         df.write.parquet(str(tmp_path / f"{name}.parquet"))
