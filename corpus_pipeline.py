@@ -15,41 +15,79 @@ from plumbline.llm.queries import vocabulary
 from plumbline.scratch import materialize
 
 
+def _aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """``docs`` with its columns of ``names``, which an operator makes itself, called otherwise; and what gives them their names back."""
+    called = {c: f"{c} of the row" if c in names else c for c in docs.columns}
+    return docs.withColumnsRenamed(called), [F.col(f"`{new}`").alias(c) for c, new in called.items()]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that importance resampling draws."""
+    """Keep the documents that importance resampling draws.
+
+    Documents without words, null and empty texts among them, are never drawn.
+    Equal rows share a draw. Texts count whole, whatever their length. Without
+    labels all documents that have words stay. An empty table stays empty, and
+    other columns are kept, whatever their names.
+    """
     target, share = importance.labelled_target(docs, table(spark, sf_dir, "labels"))
-    drawn = importance.resample(docs, target, share, keep_rows=True)
-    return drawn.where("kept").select(docs.columns)
+    rows, back = _aside(docs, ("n_grams", "log_weight", "priority", "kept"))
+    return importance.resample(rows, target, share, keep_rows=True).where("kept").select(back)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out cross-site lines; documents of which nothing is left go."""
-    cleaned = line_dedup.dedup_lines(docs)
-    return cleaned.where((F.col("n_removed") == 0) | (F.btrim(whole_text(), F.lit(" \t\n\x0b\x0c\r")) != "")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Take out cross-site lines; documents of which nothing is left go.
+
+    Null and empty texts, in which there is no line to take out, stay as they
+    are. Equal rows are changed alike, lines and texts of any length are whole,
+    an empty table stays empty, and other columns are kept, whatever their names.
+    n_chars counts anew where lines went.
+    """
+    rows, back = _aside(docs, ("n_lines", "n_removed"))
+    cleaned = line_dedup.dedup_lines(rows)
+    left = cleaned.where((F.col("n_removed") == 0) | (F.btrim(whole_text(), F.lit(" \t\n\x0b\x0c\r")) != ""))
+    counted = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", counted).select(back)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near duplicates."""
+    """Keep one document of each class of near duplicates.
+
+    That is the row of the least doc_id. Documents without words, null texts among them, are no
+    one's duplicates. Of equal rows one stays. Texts are compared whole, an
+    empty table stays empty, and other columns are kept, whatever their names.
+    """
     return ngram_join.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat and leave out documents by the schedule; a document goes in as often as the words taken make whole ones, rounded."""
+    """Repeat and leave out documents by the schedule; a document goes in as often as the words taken make whole ones, rounded.
+
+    Documents without words are never taken. A null source is a source, and null
+    ids are documents like others. Equal rows have takes of their own; the rows
+    that they stand for are equal. Texts of any length count whole, an empty table
+    stays empty, and other columns are kept, whatever their names.
+    """
     takes = mixing.mix_sources(docs).takes.where("size > 0")
-    # Equal rows have takes of their own; the rows that they stand for are equal.
     times = takes.groupBy("doc_id", "source", "text_key", "size").agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("times"), F.count("*").alias("rows"))
-    times = materialize(times.where("times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key"), "times", "rows"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64(whole_text()) == F.col("_key"))
-    joined = docs.join(times, same)
+    times = materialize(times.where("times > 0"))
+    # The row is one column beside the others, so that no name of it can clash.
+    packed = docs.select(F.struct("*").alias("row"), F.xxhash64(whole_text()).alias("key")).alias("d")
+    same = F.col("row.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("row.source").eqNullSafe(F.col("t.source")) & (F.col("key") == F.col("t.text_key"))
+    joined = packed.join(times.alias("t"), same)
     if not times.where("rows > 1").isEmpty():
-        joined = joined.dropDuplicates(["_id", "_source", "_key"])
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select(docs.columns)
+        joined = joined.dropDuplicates(["doc_id", "source", "text_key"])
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select([F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode whole texts to token ids, and check that they decode to the text."""
-    coded = bpe.encode_documents(docs.withColumn("_sha", F.sha2(whole_text(), 256)), *vocabulary(), decoded="_decoded")
-    return coded.select("doc_id", "lang", "source", "n_chars", F.floor(F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids", (F.sha2("_decoded", 256) == F.col("_sha")).alias("round_trip"))
+    """Encode whole texts to token ids, and check that they decode to the text.
+
+    Null and empty texts have no tokens. Equal rows are encoded alike, texts of
+    any length whole; an empty table stays empty, and other columns are left out.
+    """
+    rows = docs.select("doc_id", "lang", "source", "n_chars", "text", F.sha2(whole_text(), 256).alias("sha"))
+    coded = bpe.encode_documents(rows, *vocabulary(), decoded="decoded")
+    return coded.select("doc_id", "lang", "source", "n_chars", F.floor(F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids", (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"))
 
 
 STAGES = [
