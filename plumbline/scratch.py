@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local applications that have no shared one.
+_local_roots: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -15,9 +19,10 @@ def scratch_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+    return _local_roots[app]
 
 
 def materialize(df: DataFrame) -> DataFrame:
