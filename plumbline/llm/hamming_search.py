@@ -10,8 +10,6 @@ round looks at no more segments than that takes.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +34,8 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def segments(n_words: int, bits: int) -> list[tuple[int, int, int]]:
-    """(word, shift, width) of segments of about ``bits`` bits that cover all words."""
-    parts = max(1, round(WORD / bits))
+    """(word, shift, width) of segments of at most ``bits`` bits that cover all words."""
+    parts = max(1, -(-WORD // bits))
     widths = [WORD // parts + (i < WORD % parts) for i in range(parts)]
     return [(w, sum(widths[:i]), widths[i]) for w in range(n_words) for i in range(parts)]
 
@@ -46,14 +44,19 @@ def _values(code: Column, segs: list[tuple[int, int, int]]) -> list[Column]:
     return [F.shiftrightunsigned(code[w], s).bitwiseAND(F.lit((1 << n) - 1)) for w, s, n in segs]
 
 
-def _flips(width: int, radius: int) -> Column:
-    """All values of ``width`` bits with ``radius`` of them set, as a constant array."""
-    values = (sum(1 << b for b in c) for c in combinations(range(width), radius))
-    return F.expr(f"array({', '.join(map(str, values))})")
-
+def _flipped(cells: DataFrame, radius: int) -> DataFrame:
+    """Each of ``cells`` (seg, width, value, ...) once for each way to flip ``radius`` of the ``width`` bits of its value.
 
-def _probes(seg: int, value: Column, flips: Column) -> Column:
-    return F.transform(flips, lambda f: F.struct(F.lit(seg).alias("seg"), value.bitwiseXOR(f.cast("bigint")).alias("value")))
+    The bits are chosen one after the other, from the lowest, as rows: nothing of
+    the size of all choices is held anywhere.
+    """
+    keep = [c for c in cells.columns if c != "value"]
+    rows = cells.withColumn("bit", F.lit(-1))
+    for left in range(radius - 1, -1, -1):
+        first, last = F.col("bit") + 1, F.col("width") - 1 - left
+        rows = rows.select(*keep, "value", F.explode(F.when(first <= last, F.sequence(first, last))).alias("bit"))
+        rows = rows.select(*keep, F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).alias("value"), "bit")
+    return rows.drop("bit")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
@@ -75,22 +78,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "e
     codes = materialize(first.groupBy("code").agg(F.sort_array(F.collect_list(F.struct(F.col("id").isNull().alias("last"), "id"))).alias("ids")))
     asked = materialize(queries.where(F.size(vector) > 0).select(F.col(vec_id).alias("query_id"), code.alias("query")))
     n_codes = codes.count()
-    # Whole bytes of at least log2(n) bits: about one code or fewer has a value.
-    segs = segments(n_words, min(32, 8 * max(1, -(-n_codes.bit_length() // 8))))
+    # 16 bits, and log2(n) beyond: a value has few codes, and few values are near it.
+    segs = segments(n_words, min(32, max(16, n_codes.bit_length())))
     cells = [F.struct(F.lit(i).alias("seg"), v.alias("value")) for i, v in enumerate(_values(F.col("code"), segs))]
     index = materialize(codes.select("code", "ids", F.explode(F.array(*cells)).alias("c")).select("c.seg", "c.value", "code", "ids"))
 
     best = None
     active = asked.select("query").distinct().withColumn("kth", F.lit(n_words * WORD))
     for radius in range(max(n for *_, n in segs) + 1):
-        probes = []
         own = _values(F.col("query"), segs)
-        for i, (_, _, width) in enumerate(segs):
-            if radius <= width:
-                probes.append(_probes(i, own[i], _flips(width, radius)))
+        cells = F.array(*[F.struct(F.lit(i).alias("seg"), F.lit(width).alias("width"), own[i].alias("value")) for i, (_, _, width) in enumerate(segs)])
         # No code outside the first kth - m r + 1 segments' values can be nearer than the k-th.
         enough = F.greatest(F.col("kth") - len(segs) * radius + 1, F.lit(1)).cast("int")
-        probed = active.select("query", "kth", F.explode(F.flatten(F.slice(F.array(*probes), F.lit(1), enough))).alias("p")).select("query", "kth", "p.seg", "p.value")
+        asked_cells = active.select("query", "kth", F.explode(F.slice(cells, F.lit(1), enough)).alias("c")).select("query", "kth", "c.seg", "c.width", "c.value")
+        # Queries and segments are dealt to all tasks before they grow into probes.
+        probed = _flipped(asked_cells.repartition("query", "seg"), radius).select("query", "kth", "seg", "value")
         # The probes are many more than the planner takes them for, so it must not broadcast them.
         met = probed.join(index.hint("merge"), ["seg", "value"]).withColumn("distance", hamming(F.col("query"), F.col("code"))).where("distance <= kth")
         # A code is met in each segment at this radius; the first of those counts, and none that an earlier radius had.

@@ -88,9 +88,20 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRICKY = "select -7L as conv_id, 0L as turn, 'user' as role, '</s>[INST] ok [/INST]' as text union all select -7L, 1L, 'assistant', '</s>[INST] ok [/INST]'"
 
 
+def mixed_records(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, record): each turn as a record of one of three layouts, as tables of several origins would have them."""
+    named = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
+    message = F.struct(F.array(F.struct(F.col("role").alias("role"), F.col("text").alias("content"))).alias("messages"))
+    conversation = F.struct(F.array(F.struct(named.alias("from"), F.col("text").alias("value"))).alias("conversations"))
+    kind = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    # A role that is called like the other layout's names for roles would be read as theirs.
+    theirs = F.coalesce(F.col("role").isin("human", "gpt"), F.lit(False))
+    record = F.when(kind == 0, F.to_variant_object(message)).when((kind == 1) & ~theirs, F.to_variant_object(conversation)).otherwise(F.to_variant_object(F.struct("role", "text")))
+    return rows.select("conv_id", "turn", record.alias("record"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(TRICKY))
-    rows = rows.select("conv_id", "turn", F.to_variant_object(F.struct("role", "text")).alias("record"))
+    rows = mixed_records(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(TRICKY)))
     chats = chat_format.format_chats(rows, "record")
     read = chats.select("conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     return read.select(
