@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.scratch import discard, materialize
+from plumbline.scratch import Rounds, discard, materialize
 
 #: Projects with at most so many edges are handled by one task each.
 GROUPED_EDGES = 2_000_000
@@ -134,66 +134,62 @@ def scc_distributed(edges: DataFrame) -> DataFrame:
     a linear number of rows; all state is written to the shared scratch folder.
     """
     e = materialize(distinct_edges(edges))
-    found = e.select("project", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("comp", F.col("node"))
-    found = materialize(found)
+    found = e.select("project", F.explode(F.array("src", "dst")).alias("node")).distinct()
     live = materialize(e.where("src <> dst"))
-    discard(e)
-    parts: list[DataFrame] = []
-    while not live.isEmpty():
-        live = _trimmed(live)
-        if live.isEmpty():
+    parts = Rounds(e.sparkSession, "project string, node string, c string")
+    n = live.count()
+    while n:
+        live, n = _trimmed(live, n)
+        if not n:
             break
         colour = _spread_least(live)
         same = live.join(colour.withColumnsRenamed({"node": "src", "label": "c1"}), ["project", "src"]).join(colour.withColumnsRenamed({"node": "dst", "label": "c2"}), ["project", "dst"]).where("c1 = c2").select("project", "src", "dst", F.col("c1").alias("c"))
         same = materialize(same)
-        members = _reaching_roots(same)
-        parts.append(members)
+        members = parts.add(_reaching_roots(same))
         gone = members.select("project", "node")
         rest = live.join(gone.withColumnRenamed("node", "src"), ["project", "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), ["project", "dst"], "left_anti")
         old, live = live, materialize(rest)
+        n = live.count()
         for df in (old, colour, same):
             discard(df)
-    for p in parts:
-        found = found.join(p.withColumnRenamed("comp", "c"), ["project", "node"], "left").select("project", "node", F.coalesce("c", "comp").alias("comp"))
-    return found
+    discard(live)
+    # A node is in one component, so all rounds together are joined once.
+    return found.join(parts.every(), ["project", "node"], "left").select("project", "node", F.coalesce("c", "node").alias("comp"))
 
 
-def _trimmed(live: DataFrame) -> DataFrame:
+def _trimmed(live: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """``live``, of ``n`` edges, without those from nodes that none arrives at, and to nodes that none leaves; and their number."""
     while True:
-        n = live.count()
         kept = live.join(live.select("project", F.col("dst").alias("src")).distinct(), ["project", "src"], "left_semi")
         kept = kept.join(live.select("project", F.col("src").alias("dst")).distinct(), ["project", "dst"], "left_semi").select("project", "src", "dst")
         old, live = live, materialize(kept)
         discard(old)
-        if live.count() == n:
-            return live
+        before, n = n, live.count()
+        if n in (0, before):
+            return live, n
 
 
 def _spread_least(live: DataFrame) -> DataFrame:
-    label = materialize(live.select("project", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("label", F.col("node")))
-    changed = label
-    while True:
+    """(project, node, label): the least node that reaches each. A round adds the labels that fell, and nothing else."""
+    labels = Rounds(live.sparkSession, "project string, node string, label string")
+    changed = labels.add(live.select("project", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("label", F.col("node")))
+    while not changed.isEmpty():
         sent = live.join(changed.select("project", F.col("node").alias("src"), "label"), ["project", "src"]).groupBy("project", F.col("dst").alias("node")).agg(F.min("label").alias("new"))
-        nxt = label.join(sent, ["project", "node"], "left").select("project", "node", F.least("label", "new").alias("label"), F.coalesce(F.col("new") < F.col("label"), F.lit(False)).alias("moved"))
-        old, full = label, materialize(nxt)
-        discard(old)
-        label = full.drop("moved")
-        label._scratch_path = full._scratch_path
-        changed = full.where("moved").drop("moved")
-        if changed.isEmpty():
-            return label
+        known = sent.join(labels.every(), ["project", "node"]).groupBy("project", "node", "new").agg(F.min("label").alias("label"))
+        changed = labels.add(known.where("new < label").select("project", "node", F.col("new").alias("label")))
+    least = materialize(labels.every().groupBy("project", "node").agg(F.min("label").alias("label")))
+    labels.discard()
+    return least
 
 
 def _reaching_roots(same: DataFrame) -> DataFrame:
-    members = materialize(same.select("project", F.col("c").alias("node"), F.col("c").alias("comp")).distinct())
-    front = members
-    while True:
-        step = same.join(front.select("project", F.col("node").alias("dst"), F.col("comp").alias("c")), ["project", "dst", "c"]).select("project", F.col("src").alias("node"), F.col("c").alias("comp")).distinct()
-        front = materialize(step.join(members, ["project", "node", "comp"], "left_anti"))
-        if front.isEmpty():
-            return members
-        old, members = members, materialize(members.unionByName(front))
-        discard(old)
+    """(project, node, c): what reaches the colour's own node. A round adds what the one before it leads back to."""
+    members = Rounds(same.sparkSession, "project string, node string, c string")
+    front = members.add(same.select("project", F.col("c").alias("node"), "c").distinct())
+    while not front.isEmpty():
+        step = same.join(front.select("project", F.col("node").alias("dst"), "c"), ["project", "dst", "c"]).select("project", F.col("src").alias("node"), "c").distinct()
+        front = members.add(step.join(members.every(), ["project", "node", "c"], "left_anti"))
+    return members.every()
 
 
 def condense(edges: DataFrame, scc: DataFrame) -> DataFrame:
@@ -204,36 +200,40 @@ def condense(edges: DataFrame, scc: DataFrame) -> DataFrame:
 
 
 def longest_path(dag: DataFrame, scc: DataFrame) -> DataFrame:
-    """depth(project, comp, depth): the last level at which a component is in the frontier that starts at the roots."""
+    """depth(project, comp, depth): the last level at which a component is in the frontier that starts at the roots.
+
+    Each level is added to those before it; the last one of a component is taken once, at the end.
+    """
     dag = materialize(dag)
-    comps = scc.select("project", "comp").distinct()
-    front = comps.join(dag.select("project", F.col("dst_comp").alias("comp")).distinct(), ["project", "comp"], "left_anti")
-    depth = materialize(comps.withColumn("depth", F.lit(1)))
-    level = 1
-    front = materialize(front)
-    while True:
-        level += 1
-        nxt = materialize(dag.join(front.withColumnRenamed("comp", "src_comp"), ["project", "src_comp"]).select("project", F.col("dst_comp").alias("comp")).distinct())
-        discard(front)
-        front = nxt
-        if front.isEmpty():
-            return depth
-        old, depth = depth, materialize(depth.join(front.withColumn("l", F.lit(level)), ["project", "comp"], "left").select("project", "comp", F.coalesce("l", "depth").alias("depth")))
-        discard(old)
+    levels = Rounds(dag.sparkSession, "project string, comp string")
+    roots = scc.select("project", "comp").distinct().join(dag.select("project", F.col("dst_comp").alias("comp")).distinct(), ["project", "comp"], "left_anti")
+    front = levels.add(roots)
+    while not front.isEmpty():
+        front = levels.add(dag.join(front.withColumnRenamed("comp", "src_comp"), ["project", "src_comp"]).select("project", F.col("dst_comp").alias("comp")).distinct())
+    return levels.every("depth").groupBy("project", "comp").agg(F.max("depth").alias("depth"))
+
+
+def depth_range(structure: DataFrame) -> DataFrame:
+    """(project, max_depth, n_depths): the greatest depth of a project's graph, and how many different ones there are."""
+    return structure.groupBy("project").agg(F.max("depth").alias("max_depth"), F.count_distinct("depth").alias("n_depths"))
 
 
 def structure(edges: DataFrame, nodes: DataFrame | None = None, grouped_edges: int = GROUPED_EDGES) -> DataFrame:
-    """(project, node, comp, depth) by the way that the largest project's size allows.
+    """(project, node, comp, depth), of each project by the way that its size allows.
 
-    With ``nodes``, those without edges are components of their own at depth 1.
+    Both ways give the same rows. With ``nodes``, those without edges are
+    components of their own at depth 1.
     """
     e = distinct_edges(edges)
-    most = e.groupBy("project").count().agg(F.max("count")).first()[0] or 0
-    if most <= grouped_edges:
+    large = materialize(e.groupBy("project").count().where(F.col("count") > grouped_edges).select("project"))
+    if large.isEmpty():
         out = grouped_structure(e)
     else:
-        scc = materialize(scc_distributed(e))
-        out = scc.join(longest_path(condense(e, scc), scc), ["project", "comp"]).select("project", "node", "comp", "depth")
+        out = grouped_structure(e.join(large, "project", "left_anti"))
+        most = materialize(e.join(large, "project", "left_semi"))
+        scc = materialize(scc_distributed(most))
+        depths_of = longest_path(condense(most, scc), scc)
+        out = out.unionByName(scc.join(depths_of, ["project", "comp"]).select("project", "node", "comp", "depth"))
     if nodes is None:
         return out
     return nodes.select("project", "node").join(out, ["project", "node"], "left").select("project", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("depth", F.lit(1)).alias("depth"))

@@ -12,8 +12,10 @@ from plumbline.functions.stats import PERCENTS, distribution, percentile, percen
 from plumbline.operators import gate, graph, metrics
 from plumbline.plans.brand_graph import brand_config, brand_output, raw_edges
 from plumbline.plans.health import gate_frame, metrics_of
-from plumbline.schemas import CODE_LANGUAGES, METRICS
+from plumbline.schemas import CODE_LANGUAGES, HIGHER, LANGUAGE, LOWER, METRICS
 from plumbline.scratch import materialize
+from plumbline.sources.config import config_frames, default_config, load_config, resolve_projects
+from plumbline.sources.tool_json import parse_file_stats, parse_modules
 
 Query = Callable[[SparkSession, str], DataFrame]
 _MADE: dict[str, tuple[Query, str | None]] = {}
@@ -239,7 +241,110 @@ def gate_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.evaluate_gate_all(_gated(spark, sf_dir))
 
 
-@_query(None)
+# --- documents of the tools, made of the tables and read by the production parsers
+
+_FOLDER = "'/repo/' || p_brand"
+_STATS_JSON = f"""SELECT project, path, loc, complexity FROM (SELECT p_brand AS project, list_extract({_NAMES!r}, CAST(p_size % 16 AS INTEGER) + 1) AS language, CAST(p_size * 3 AS DOUBLE) AS loc, CAST(p_size % 7 AS DOUBLE) AS complexity,
+  CASE p_partkey % 4 WHEN 0 THEN 'src/' || p_partkey || '.ts' WHEN 1 THEN 'lib/' || p_partkey || '.ts' WHEN 2 THEN '../shared/' || p_partkey || '.ts' ELSE p_partkey || '.ts' END AS path FROM part) WHERE language IN {CODE_LANGUAGES!r}"""
+
+
+@_query(_STATS_JSON)
+def parse_file_stats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absolute paths inside and outside the project's folder, relative ones, and files without a location."""
+    key = F.col("p_partkey").cast("string")
+    k = F.col("p_partkey") % 4
+    home = F.concat(F.lit("/repo/"), F.col("p_brand"))
+    at = F.when(k == 0, F.concat(home, F.lit("/src/"), key, F.lit(".ts"))).when(k == 1, F.concat(F.lit("lib/"), key, F.lit(".ts"))).when(k == 2, F.concat(F.lit("/repo/shared/"), key, F.lit(".ts")))
+    file = F.struct(F.concat(key, F.lit(".ts")).alias("Filename"), at.alias("Location"), (F.col("p_size") * 3).alias("Code"), (F.col("p_size") % 7).alias("Complexity"), F.lit("left out").alias("Extra"))
+    named = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("project"), F.element_at(F.array(*map(F.lit, _NAMES)), F.col("p_size") % 16 + 1).alias("Name"), file.alias("file"))
+    groups = named.groupBy("project", "Name").agg(F.collect_list("file").alias("Files"))
+    docs = groups.groupBy("project").agg(F.to_json(F.collect_list(F.struct("Name", "Files"))).alias("json"))
+    return parse_file_stats(docs.withColumn("base_dir", F.concat(F.lit("/repo/"), "project"))).select("project", "path", "loc", "complexity")
+
+
+def _module(key: Column) -> Column:
+    k = F.pmod(key.cast("long"), F.lit(10))
+    return F.when(k == 0, F.concat(F.lit("node_modules/"), key, F.lit("/i.js"))).when(k == 1, F.concat(F.lit("node:"), key)).when(k == 2, F.concat(key, F.lit(".js"))).otherwise(F.concat(F.lit("src/"), key, F.lit(".ts")))
+
+
+def _module_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mods = raw_edges(spark, sf_dir).groupBy("project", "src").agg(F.collect_list(F.struct(_module(F.col("dst")).alias("resolved"), F.lit(True).alias("followable"))).alias("dependencies"))
+    listed = mods.select("project", F.struct(_module(F.col("src")).alias("source"), "dependencies").alias("m"))
+    return listed.groupBy("project").agg(F.to_json(F.struct(F.collect_list("m").alias("modules"))).alias("json"))
+
+
+_SQL_MODULE = "CASE CAST({0} AS BIGINT) % 10 WHEN 0 THEN 'node_modules/' || {0} || '/i.js' WHEN 1 THEN 'node:' || {0} WHEN 2 THEN {0} || '.js' ELSE 'src/' || {0} || '.ts' END"
+_OWN = "CAST({0} AS BIGINT) % 10 > 2"
+
+
+@_query(_sql(_RAW, f"SELECT DISTINCT project, {_SQL_MODULE.format('src')} AS src, {_SQL_MODULE.format('dst')} AS dst FROM raw WHERE {_OWN.format('src')} AND {_OWN.format('dst')}"))
+def parse_modules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of documents with packages, built-ins, bare names and repeated dependencies."""
+    return parse_modules(_module_documents(spark, sf_dir))[1]
+
+
+@_query(_sql(_RAW, f"SELECT DISTINCT project, {_SQL_MODULE.format('src')} AS source FROM raw WHERE {_OWN.format('src')}"))
+def parsed_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_modules(_module_documents(spark, sf_dir))[0]
+
+
+_LINE_STATS = "lines AS (SELECT p_brand AS project, CAST(l_partkey AS VARCHAR) AS path, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS ord FROM lineitem JOIN part ON p_partkey = l_partkey)"
+
+
+@_query(f"WITH {_LINE_STATS} SELECT project, path AS node, CAST(MAX(ord) % 97 AS DOUBLE) AS loc, CAST(MAX(ord) % 13 AS DOUBLE) AS complexity FROM lines GROUP BY 1, 2")
+def last_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file has as many stats as its part has lines; the last of them counts."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("project"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(part, "l_partkey").select("project", F.col("l_partkey").cast("string").alias("path"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("ord"))
+    stats = lines.select("project", "path", (F.col("ord") % 97).cast("double").alias("loc"), (F.col("ord") % 13).cast("double").alias("complexity"), "ord")
+    none = lines.where("false").select("project", F.col("path").alias("src"), F.col("path").alias("dst"))
+    return graph.build_nodes(lines.select("project", F.col("path").alias("source")), none, stats).select("project", "node", "loc", "complexity")
+
+
+@_query(_sql(_DEPTH, "SELECT s.project, CAST(MAX(d.depth) AS INTEGER) AS max_depth, COUNT(DISTINCT d.depth) AS n_depths FROM scc s JOIN depths d ON d.project = s.project AND d.comp = s.comp GROUP BY 1"))
+def depth_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.depth_range(_structure(spark, sf_dir))
+
+
+_HIGHER = """higher(metric_ord, metric, good, bad) AS (VALUES (0, 'locPerModule', 40.0::DOUBLE, 2.0::DOUBLE), (1, 'depDepth', 6.0, 1.0), (3, 'complexity', 16.0, 4.0), (4, 'fanInOut', 3.0, 3.0)),
+turned AS (SELECT l.project, h.metric, l.raw_p75, CASE WHEN good = bad THEN CASE WHEN raw_p75 >= good THEN 10.0 ELSE 0.0 END
+  ELSE FLOOR(LEAST(1.0, GREATEST(0.0, (raw_p75 - bad) / (good - bad))) * 1000.0::DOUBLE + 0.5) / 100.0::DOUBLE END::DOUBLE AS sub_score
+  FROM higher h JOIN (UNPIVOT wide ON "locPerModule", "depDepth", "circularDeps", complexity, "fanInOut" INTO NAME metric VALUE raw_p75) l ON l.metric = h.metric)"""
+
+
+@_query(_sql(_METRICS, "").rstrip() + ",\n" + _HIGHER + "\nSELECT project, metric, raw_p75, sub_score FROM turned")
+def higher_better_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sub-scores by baselines where more is better; one of them has equal ends."""
+    spec = [(0, "locPerModule", 40.0, 2.0), (1, "depDepth", 6.0, 1.0), (3, "complexity", 16.0, 4.0), (4, "fanInOut", 3.0, 3.0)]
+    config = spark.createDataFrame([(i, m, g, b, HIGHER, 1.0) for i, m, g, b in spec], "metric_ord int, metric string, good double, bad double, direction string, weight double")
+    wide = materialize(_wide(spark, sf_dir))
+    # A row a brand and metric: four constant rows meet each brand.
+    every = wide.select("project", F.lit(0).alias("proj_ord"), F.explode(F.array(*[F.lit(m) for _, m, _, _ in spec])).alias("metric")).join(config, "metric")
+    return metrics.metric_scores(wide, every).select("project", "metric", "raw_p75", "sub_score")
+
+
+@_query(_sql(_CONFIG, "SELECT m.project, m.proj_ord, p.last_score, p.threshold, metric_ord, metric, good, bad, direction, weight FROM metric_config m JOIN project_config p ON p.project = m.project"))
+def effective_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brands as a configuration file would have them, through validation and override resolution."""
+    brands = [r.p_brand for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand").distinct().orderBy("p_brand").collect()]
+    narrow = {"depDepth": {"good": 1, "bad": 6, "direction": LOWER}, "fanInOut": {"good": 0, "bad": 4, "direction": LOWER}}
+    projects = []
+    for i, brand in enumerate(brands):
+        own: dict = {"name": brand, "srcDir": f"./{brand}", "lastScore": 0 if i % 7 == 0 else 6 + i % 4}
+        own |= {"threshold": -1} if i % 3 == 0 else {}
+        own |= {"baselines": narrow} if i % 2 == 0 else {}
+        own |= {"weights": {LANGUAGE: {"fanInOut": 3}}} if i % 5 == 0 else {}
+        projects.append(own)
+    head, metric = config_frames(spark, resolve_projects(load_config(default_config(projects))))
+    return metric.join(head.select("project", "last_score", "threshold"), "project")
+
+
+_ELEMENT = """to_json({'name': s.project, 'score': s.score, 'breakdown': {'locPerModule': b."locPerModule", 'depDepth': b."depDepth", 'circularDeps': b."circularDeps", 'complexity': b.complexity, 'fanInOut': b."fanInOut"},
+  'gate': {'decision': g.decision, 'floor': g.floor, 'lastScore': g.last_score, 'threshold': g.threshold}})"""
+
+
+@_query(_sql(_GATE, f"""SELECT s.project, s.proj_ord, CAST({_ELEMENT} AS VARCHAR) AS report FROM scores s JOIN gated g ON g.project = s.project
+  JOIN (PIVOT (SELECT project, metric, sub_score FROM subs) ON metric IN ('locPerModule', 'depDepth', 'circularDeps', 'complexity', 'fanInOut') USING max(sub_score) GROUP BY project) b ON b.project = s.project"""))
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report's element of each project as JSON; a project without a gate has none."""
     scored = metrics.project_scores(_scores(spark, sf_dir))

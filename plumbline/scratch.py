@@ -40,6 +40,33 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+class Rounds:
+    """A table that a loop only adds to: each round's rows are a folder of their own, written once."""
+
+    def __init__(self, spark: SparkSession, schema: str) -> None:
+        self.spark, self.schema, self.n = spark, schema, 0
+        self.path = f"{scratch_root(spark)}/plumbline-{uuid.uuid4().hex}"
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Write the next round's rows, and give them back as read."""
+        self.n += 1
+        at = f"{self.path}/round={self.n}"
+        rows.write.parquet(at)
+        if self.n == 1:
+            _at(self.spark, self.path, lambda fs, p: fs.deleteOnExit(p))
+        return self.spark.read.schema(self.schema).parquet(at)
+
+    def every(self, number: str | None = None) -> DataFrame:
+        """The rows of all rounds; with ``number``, a column of that name has their round, from 1."""
+        if not self.n:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(f"{self.schema}, round int").option("basePath", self.path).parquet(*[f"{self.path}/round={i}" for i in range(1, self.n + 1)])
+        return rows.withColumnRenamed("round", number) if number else rows.drop("round")
+
+    def discard(self) -> None:
+        _at(self.spark, self.path, lambda fs, p: fs.delete(p, True))
+
+
 def discard(df: DataFrame | None) -> None:
     """Remove a table of :func:`materialize` that nothing reads any more."""
     if df is not None:
