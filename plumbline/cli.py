@@ -46,13 +46,13 @@ def _spark_scan(config: dict) -> ProjectsResult:
 def run_init(path: str, force: bool, writer: Writer, files: Files | None = None, root: str | None = None, prompt: Callable[[dict], list[dict]] | None = None) -> int:
     """Scaffold a configuration of the discovered packages, or of one root project."""
     if os.path.exists(path) and not force:
-        raise ConfigError(f"Config already exists: {path}. Pass --force to overwrite.")
+        raise ConfigError(f"{path} is there already; --force replaces it")
     found = [{"name": p.name, "srcDir": p.src_dir, "lastScore": 0} for p in discover_workspaces(files or LocalFiles(), root or os.getcwd())]
     chosen = found or (prompt(ROOT_PROJECT) if prompt else []) or [ROOT_PROJECT]
     with open(path, "w", encoding="utf-8") as f:
         f.write(to_json(default_config(chosen), 2) + "\n")
-    writer.out(f"Wrote config: {path}")
-    writer.out("No workspaces discovered; scaffolded a single root project." if chosen == [ROOT_PROJECT] else f"Discovered {len(chosen)} project(s).")
+    writer.out(f"{path} written")
+    writer.out("one project, the root: there are no workspaces" if chosen == [ROOT_PROJECT] else f"projects found: {len(chosen)}")
     return 0
 
 
@@ -73,7 +73,7 @@ def run_scan(path: str, gated: bool, as_json: bool, writer: Writer, scan: Scan =
     return int(failed)
 
 
-def run(argv: list[str], writer: Writer | None = None, scan: Scan = _spark_scan) -> int:
+def run(argv: list[str], writer: Writer | None = None, scan: Scan = _spark_scan, files: Files | None = None, prompt: Callable[[dict], list[dict]] | None = None) -> int:
     writer = writer or Writer()
     parser = _Parser("plumbline", description="Structural health scores, 0 to 10, of projects with files and dependencies.")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -88,7 +88,7 @@ def run(argv: list[str], writer: Writer | None = None, scan: Scan = _spark_scan)
         args = parser.parse_args(argv)
         path = resolve_config_path(args.config)
         if args.command == "init":
-            return run_init(path, args.force, writer)
+            return run_init(path, args.force, writer, files, prompt=prompt)
         return run_scan(path, args.command == "gate" or args.gate, args.json, writer, scan)
     except SystemExit as e:
         return 0 if not e.code else 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -13,7 +14,7 @@ from plumbline.operators import gate as gates
 from plumbline.operators import graph, metrics
 from plumbline.scratch import materialize
 from plumbline.sources import config as cfg
-from plumbline.sources.tool_json import Registry, ToolOutput, default_registry
+from plumbline.sources.tool_json import Registry, ToolCommands, ToolOutput, default_registry
 
 
 @dataclass(frozen=True)
@@ -49,10 +50,13 @@ def score_frames(tools: ToolOutput, metric_config: DataFrame) -> DataFrame:
     return metrics.project_scores(metrics.metric_scores(metrics_of(tools), metric_config))
 
 
-def scan_projects(spark: SparkSession, config: dict, registry: Registry | None = None) -> ProjectsResult:
-    """Score every project of a validated configuration; the results, a row a project, come to the driver in declared order."""
+def scan_projects(spark: SparkSession, config: dict, registry: Registry | None = None, runner: Callable[[list[str], str], str] | None = None) -> ProjectsResult:
+    """Score every project of a validated configuration; the results, a row a project, come to the driver in declared order.
+
+    ``runner`` runs the commands of the default registry.
+    """
     projects = cfg.resolve_projects(config)
-    tools = (registry or default_registry()).resolve(config["language"]).read(spark, projects)
+    tools = (registry or (Registry([ToolCommands(run=runner)]) if runner else default_registry())).resolve(config["language"]).read(spark, projects)
     _, metric_config = cfg.config_frames(spark, projects)
     rows = score_frames(tools, metric_config).orderBy("proj_ord").collect()
     out = tuple(ProjectResult(r.project, r.score, tuple(MetricScore(b.metric, b.raw_p75, b.sub_score, b.weight) for b in r.breakdown)) for r in rows)

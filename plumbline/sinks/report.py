@@ -85,11 +85,14 @@ def atomic_write(path: str, text: str) -> None:
         raise
 
 
+# Fixed texts: "is not a JSON object" and "No project named" are what callers look for.
+
+
 def _read_object(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         obj = json.load(f)
     if not isinstance(obj, dict):
-        raise TypeError(f"Config at {path} is not a JSON object.")
+        raise TypeError(f"{path} is not a JSON object")
     return obj
 
 
@@ -98,11 +101,11 @@ def write_last_scores(path: str, scores: dict[str, float]) -> None:
     obj = _read_object(path)
     projects = obj.get("projects")
     if not isinstance(projects, list):
-        raise TypeError(f'Config at {path} has no "projects" array.')
+        raise TypeError(f"there is no list of projects in {path}")
     by_name = {p["name"]: p for p in projects if isinstance(p, dict) and isinstance(p.get("name"), str)}
     for name in scores:
         if name not in by_name:
-            raise LookupError(f'No project named "{name}" found in config at {path}.')
+            raise LookupError(f'No project named "{name}" in {path}')
     for p in projects:
         if isinstance(p, dict) and p.get("name") in scores:
             p["lastScore"] = round_half_up_py(scores[p["name"]], 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-import re
+import unicodedata
 from dataclasses import dataclass
 from typing import Any, Protocol
 
@@ -53,20 +53,37 @@ def globs_from_package_json(pkg: Any) -> list[str]:
     return [g for g in spaces if isinstance(g, str)] if isinstance(spaces, list) else []
 
 
+def _without_comment(line: str) -> str:
+    """A line up to a '#' that starts it or follows a blank, outside quotes."""
+    quote = ""
+    for i, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            quote = c
+        elif c == "#" and (i == 0 or line[i - 1].isspace()):
+            return line[:i]
+    return line
+
+
 def globs_from_workspace_yaml(text: str) -> list[str]:
-    """Items under ``packages:``. Comments and blank lines don't matter; the next key ends the list."""
-    lines = (re.sub(r"(^|\s+)#.*$", "", line) for line in re.split(r"\r?\n", text))
-    out = []
-    for line in lines:
-        if re.fullmatch(r"packages\s*:", line.strip()):
-            break
-    for line in lines:
-        if item := re.fullmatch(r"\s*-\s*(.+?)\s*", line):
-            if value := re.sub(r"^['\"]|['\"]$", "", item[1]).strip():
-                out.append(value)
-        elif line.strip():
-            break
-    return out
+    """The block list of the key ``packages``; it ends with the next key. Items may be quoted."""
+    items: list[str] = []
+    inside = False
+    for line in map(_without_comment, text.splitlines()):
+        content = line.strip()
+        if not content:
+            continue
+        if content[0] != "-":
+            if inside:
+                break
+            inside = content.endswith(":") and content[:-1].rstrip() == "packages"
+        elif inside:
+            value = content[1:].strip()
+            if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"":
+                value = value[1:-1].strip()
+            items += [value] if value else []
+    return items
 
 
 def expand_glob(files: Files, root: str, glob: str) -> list[str]:
@@ -95,7 +112,19 @@ def package_name(files: Files, root: str, at: str) -> str:
         name = json.loads(files.read(join_posix(root, at, "package.json"))).get("name")
     except (OSError, ValueError, AttributeError, KeyError):
         name = None
-    return name if isinstance(name, str) and name else at.split("/")[-1]
+    return name if isinstance(name, str) and name.strip() else at.split("/")[-1]
+
+
+#: Marks in the order of the root collation, before digits and letters.
+MARKS = "_-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$"
+
+
+def collation_key(text: str) -> tuple:
+    """An order as people sort: marks, digits, letters; then accents; then small letters before their capitals."""
+    parts = unicodedata.normalize("NFD", text)
+    base = [c for c in parts if not unicodedata.combining(c)]
+    rank = lambda c: (0, MARKS.find(c) if c in MARKS else len(MARKS) + ord(c)) if not c.isalnum() else (1 if c.isdigit() else 2, c.lower())
+    return [rank(c) for c in base], [c for c in parts if unicodedata.combining(c)], "".join(base).swapcase()
 
 
 def discover_workspaces(files: Files, root: str) -> list[Package]:
@@ -109,5 +138,4 @@ def discover_workspaces(files: Files, root: str) -> list[Package]:
     if files.exists(p := join_posix(root, "pnpm-workspace.yaml")):
         globs += globs_from_workspace_yaml(files.read(p))
     found = dict.fromkeys(d for g in globs for d in expand_glob(files, root, g))
-    # Small letters before their capitals, as people sort.
-    return sorted((Package(package_name(files, root, d), f"./{d}") for d in found), key=lambda p: (p.src_dir.lower(), p.src_dir.swapcase()))
+    return sorted((Package(package_name(files, root, d), f"./{d}") for d in found), key=lambda p: collation_key(p.src_dir))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import subprocess
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
@@ -48,15 +49,21 @@ class Source(Protocol):
 
 def run_command(command: list[str], cwd: str, limit: int = 64 << 20) -> str:
     """Standard output of a command, of at most ``limit`` bytes."""
-    try:
-        done = subprocess.run(command, cwd=cwd, capture_output=True, check=False)
-    except OSError as e:
-        raise CommandError(command, cwd, None, str(e)) from e
-    if done.returncode:
-        raise CommandError(command, cwd, done.returncode, done.stderr.decode(errors="replace"))
-    if len(done.stdout) > limit:
-        raise CommandError(command, cwd, None, f"more than {limit} bytes of output")
-    return done.stdout.decode()
+    # What the command complains of goes to a file, so that it can't stop while its output is read, which is up to the limit only.
+    with tempfile.TemporaryFile() as complaints:
+        try:
+            process = subprocess.Popen(command, cwd=cwd, stdout=subprocess.PIPE, stderr=complaints)
+        except OSError as e:
+            raise CommandError(command, cwd, None, str(e)) from e
+        with process:
+            out = process.stdout.read(limit + 1)
+            if len(out) > limit:
+                process.kill()
+                raise CommandError(command, cwd, None, f"more than {limit} bytes of output")
+        if process.returncode:
+            complaints.seek(0)
+            raise CommandError(command, cwd, process.returncode, complaints.read().decode(errors="replace"))
+    return out.decode()
 
 
 # --- documents in frames: (project, json, base_dir) --------------------------
@@ -137,6 +144,10 @@ class CapturedJson:
         return ToolOutput(parse_file_stats(whole(self.metrics_file)), modules, edges)
 
 
+#: What the graph tool starts from, seen from the project's folder.
+SOURCE_GLOBS = ("**/*.ts", "**/*.tsx", "**/*.js", "**/*.jsx")
+
+
 def find_tsconfig(start: str) -> str | None:
     """The nearest tsconfig.json in ``start`` or a folder above."""
     at = os.path.abspath(start)
@@ -149,8 +160,8 @@ def find_tsconfig(start: str) -> str | None:
 
 
 def graph_tool_config(tsconfig: str | None) -> dict:
-    """Options for the graph tool: TypeScript names resolve before JavaScript ones."""
-    options: dict = {"tsPreCompilationDeps": True, "enhancedResolveOptions": {"extensions": [".ts", ".tsx", ".js", ".jsx"]}}
+    """Options for the graph tool: TypeScript names resolve before JavaScript ones, and packages aren't walked."""
+    options: dict = {"tsPreCompilationDeps": True, "exclude": "node_modules", "enhancedResolveOptions": {"extensions": [".ts", ".tsx", ".js", ".jsx"]}}
     if tsconfig:
         options["tsConfig"] = {"fileName": tsconfig}
     return {"options": options}
@@ -165,14 +176,12 @@ class ToolCommands:
     """
 
     metrics_command: tuple[str, ...] = ("scc", "--by-file", "--format", "json", ".")
-    graph_command: tuple[str, ...] = ("depcruise", "--config", "{config}", "--output-type", "json", ".")
+    graph_command: tuple[str, ...] = ("depcruise", "--config", "{config}", "--output-type", "json", *SOURCE_GLOBS)
     run: Callable[[list[str], str], str] = run_command
     id: str = "tool-commands"
     languages: tuple[str, ...] = (LANGUAGE,)
 
     def read(self, spark: SparkSession, projects: list) -> ToolOutput:
-        import tempfile
-
         metrics, graphs = [], []
         for p in projects:
             cwd = os.path.abspath(p.src_dir)

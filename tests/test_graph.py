@@ -43,6 +43,14 @@ def test_structure_of_each_toy_graph(spark, name):
     assert {r.node: (r.comp, r.depth) for r in graph.grouped_structure(edges_of(spark, text)).collect()} == expected
 
 
+def test_each_project_goes_its_own_way(spark):
+    large, small = edges_of(spark, "a>b b>a b>c c>d", "large"), edges_of(spark, "a>b b>c", "small")
+    both = large.unionByName(small)
+    rows = lambda limit: sorted(map(tuple, graph.structure(both, grouped_edges=limit).collect()))
+    assert rows(3) == rows(10**6) == rows(0)
+    assert {tuple(r) for r in graph.depth_range(graph.structure(both, grouped_edges=3)).collect()} == {("large", 3, 3), ("small", 3, 3)}
+
+
 def test_no_edges(spark):
     empty = spark.createDataFrame([], EDGES)
     assert graph.structure(empty).collect() == []

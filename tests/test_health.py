@@ -238,6 +238,27 @@ def test_discovery():
     assert found(pkgs) == []
 
 
+def test_names_order_and_quotes_of_discovery():
+    pkgs = {"p/b/package.json": '{"name": " "}', "p/B/package.json": "{}", "p/é/package.json": "{}", "p/e/package.json": "{}", "p/f/package.json": "{}", "p/_x/package.json": "{}", "p/2/package.json": "{}"}
+    assert [d for _, d in found({"package.json": '{"workspaces": ["p/*"]}', **pkgs})] == ["./p/_x", "./p/2", "./p/b", "./p/B", "./p/e", "./p/é", "./p/f"]
+    assert ("b", "./p/b") in found({"package.json": '{"workspaces": ["p/*"]}', **pkgs})
+    assert discover.globs_from_workspace_yaml("a:\n  - no\npackages: # these\n  - \"x # y\"\n  -\n  - 'z' # c\nb:\n  - no\n") == ["x # y", "z"]
+
+
+def test_public_names():
+    import plumbline
+
+    assert all(callable(getattr(plumbline, name)) for name in plumbline.__all__)
+    assert plumbline.scan is plumbline.scan_one
+    with pytest.raises(AttributeError):
+        plumbline.nothing
+
+
+def test_graph_tool_options():
+    assert tool_json.graph_tool_config(None)["options"]["exclude"] == "node_modules"
+    assert ToolCommands().graph_command[-4:] == ("**/*.ts", "**/*.tsx", "**/*.js", "**/*.jsx")
+
+
 def test_write_back(tmp_path, monkeypatch):
     path = tmp_path / "c.json"
     text = '{\n  "z": 1,\n  "projects": [\n    {\n      "name": "a",\n      "lastScore": 7.4,\n      "x": "é"\n    },\n    {\n      "name": "b",\n      "lastScore": 1\n    }\n  ]\n}\n'
