@@ -140,11 +140,15 @@ def quality_rules(
     distances (``base_failed`` still rejects). Null and empty texts have no
     words and so fail the base rule. A null language is a language of its own.
     Repeated rows are judged alike, each with a row. An empty table gives no rows.
-    Columns of the input that clash with the counts are replaced.
+    Texts of any length count whole. Columns of the input called like those
+    above are replaced; all others are kept, whatever their names.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist", "char_distance", "word_distance", "base_failed", "kept"]
-    keep = [c for c in docs.columns if c not in made and not c.startswith("_")]
-    per_doc = materialize(features(docs.select(*keep), text, lang).drop(text))
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept"]
+    keep = [c for c in docs.columns if c not in made and c != text]
+    # The row is one column beside those made here, so that no name of it can clash.
+    language = F.col(lang) if lang in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.struct(*keep, F.lit(0).alias("no column")).alias("row"), F.col(text).alias("text"), language.alias("lang"))
+    per_doc = materialize(features(rows).drop("text", "lang"))
     n_bins = max(map(len, COMMON_WORDS.values())) + 1
     sums = [F.sum(F.get("char_hist", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 2)] + [F.sum(F.get("word_hist", F.lit(i))).alias(f"w{i}") for i in range(n_bins)]
     named = per_doc.groupBy("_lang").agg(F.sum("n_words").alias("_ref_words"), *sums)
@@ -155,12 +159,12 @@ def quality_rules(
         F.array(*[f"w{i}" for i in range(n_bins)]).alias("_ref_word"),
     )
     judged = per_doc.join(refs, "_lang").select(
-        *[c for c in keep if c != text],
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_ref_words",
+        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_ref_words",
         js_distance(F.col("char_hist"), F.col("_ref_char")).alias("char_distance"),
         F.when(F.size("word_hist") == 0, F.lit(0.0)).otherwise(js_distance(F.col("word_hist"), F.col("_ref_word"))).alias("word_distance"),
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
     )
     comparable = (F.col("n_words") >= min_words) & (F.col("_ref_words") >= min_reference_words)
     far = (F.col("char_distance") > max_char_distance) | (F.col("word_distance") > max_word_distance)
-    return judged.withColumn("kept", ~F.col("base_failed") & ~(comparable & far)).drop("_ref_words")
+    judged = judged.withColumn("kept", ~F.col("base_failed") & ~(comparable & far))
+    return judged.select(*[F.col("row")[c].alias(c) for c in keep], *made)

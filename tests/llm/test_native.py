@@ -219,8 +219,11 @@ def test_quality_counts(spark):
     rnd = random.Random(9)
     docs = [(i, "\n".join(prose(rnd, rnd.randrange(12), 3) for _ in range(rnd.randrange(8)))) for i in range(150)]
     docs += [(200 + i, r[1]) for i, r in enumerate(odd_rows(rnd))] + [(300, "a b c d e a b c d e"), (301, "x " * 4), (302, "#<> |\x0b&"), (303, "same\nsame\n \nsame ")]
-    rows = quality_rules.quality_rules(make(spark, docs, clash=True)).collect()
+    judged = quality_rules.quality_rules(make(spark, docs, clash=True))
+    assert {c for c in make(spark, docs, clash=True).columns if c != "text"} <= set(judged.columns)
+    rows = judged.collect()
     assert len(rows) == len(docs)
+    assert {(r["_words"], r["_n"], r.lang) for r in rows if r.doc_id == 300} == {("clash", "clash", "en")}
     for r in rows:
         text = dict(docs)[r.doc_id]
         n, chars, symbols, dup, rep = brute_counts(text)
