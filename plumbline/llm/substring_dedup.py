@@ -1,14 +1,15 @@
-"""Substring dedup by content-defined seeds and exact windows of words.
-
-Of all n-grams in each window of words the least by hash is a seed, so a passage
-has the same seeds wherever it stands, and each window has one. Seeds that occur
-twice say where windows may repeat; there every window is compared by 128-bit
-digest. What repeated windows cover are passages; all but the first occurrence can go.
+"""Substring dedup by content-defined chunks and exact windows of words.
+
+A gear hash rolls over the words of a text and cuts it where it is least
+nearby, so a passage is cut alike wherever it stands, whatever was inserted
+before it. Chunks are deduplicated by digest. Any passage of enough words holds
+a whole chunk, so chunks that occur twice say where windows may repeat; there
+every window is compared by 128-bit digest. What repeated windows cover are
+passages; all but the first occurrence can go.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,96 +17,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize, release, small_batches, whole_text
+from plumbline.llm.common import discard, materialize, release, small_batches, text_key, whole_text
 from plumbline.llm.shingles import blocks, gram_hashes, mix, text_bytes, word_hashes
 
-#: Bytes that the rolling hash sees, and the shortest and longest chunk; characters and words of a chunk fit a byte.
-WINDOW, LEAST, MOST = 16, 24, 160
-#: A position cuts with probability 2**-CUT_BITS, so a chunk has about LEAST + 16 bytes.
-CUT_BITS = 4
-GEAR = mix(np.arange(1, 257, dtype=np.uint64))
-
-
-def cut_places(data: np.ndarray) -> np.ndarray:
-    """Places after which the rolling hash of the last WINDOW bytes asks for a cut."""
-    h = GEAR[data]
-    step = 1
-    while step < WINDOW:
-        # Twice as many bytes: the earlier half is shifted as if rolled over the later one.
-        h[step:] = h[step:] + (h[:-step] << np.uint64(step))
-        step *= 2
-    high = np.uint64(64 - CUT_BITS)
-    return np.flatnonzero(mix(h) >> high == 0) + 1
+#: An odd multiplier of the chunks' digests.
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def chunk_ends(places: list[int], begin: int, end: int, starts_char: np.ndarray) -> list[int]:
-    """Ends of the chunks of bytes begin to end, at whole characters."""
-    out = []
-    while begin < end:
-        i = bisect_left(places, begin + LEAST)
-        stop = min(places[i] if i < len(places) else end, begin + MOST, end)
-        while stop < end and not starts_char[stop]:
-            stop += 1
-        out.append(stop)
-        begin = stop
-    return out
-
-
-def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """(row, start, characters, words, digest 1, digest 2) of every chunk; places in code points."""
-    import xxhash
-
-    data, offsets = text_bytes(texts)
-    starts_char = (data & 0xC0) != 0x80
-    raw = data.tobytes()
-    places = cut_places(data).tolist()
-    row, begin, end, d1, d2 = [], [], [], [], []
-    for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-        lo, hi = bisect_left(places, a), bisect_left(places, b)
-        ends = chunk_ends(places[lo:hi], a, b, starts_char)
-        for stop in ends:
-            digest = xxhash.xxh3_128_intdigest(raw[a:stop])
-            d1.append(digest >> 64)
-            d2.append(digest & 0xFFFFFFFFFFFFFFFF)
-            row.append(r)
-            begin.append(a)
-            end.append(stop)
-            a = stop
-    row_a, begin_a, end_a = np.array(row, np.int64), np.array(begin, np.int64), np.array(end, np.int64)
-    chars = np.concatenate([[0], np.cumsum(starts_char)])
-    solid = ~np.isin(data, np.array([0x20, 9, 10, 11, 12, 13], np.uint8))
-    first, opens = solid.copy(), np.zeros(len(data) + 1, bool)
-    opens[offsets] = True
-    first[1:] &= ~solid[:-1] | opens[1:-1]
-    words = np.concatenate([[0], np.cumsum(first)])
-    base = chars[offsets[row_a]] if len(row_a) else begin_a
-    signed = lambda x: np.array(x, np.uint64).view(np.int64)
-    return row_a, chars[begin_a] - base, chars[end_a] - chars[begin_a], words[end_a] - words[begin_a], signed(d1), signed(d2)
+def chunk_words(min_words: int) -> tuple[int, int]:
+    """(words that the gear hash sees, hashes of which the least cuts).
 
+    ``min_words`` words have as many hashes as two such ranges or more, hence two
+    cuts that depend on nothing else, and the chunk between them.
+    """
+    if min_words < 2:
+        raise ValueError("min_words must be 2 or more")
+    seen = max(1, min_words // 5)
+    return seen, (min_words + 1 - seen) // 2
+
+
+def gear_hashes(words: np.ndarray, seen: int) -> np.ndarray:
+    """The rolling hash after each word: shifted for every word, so that one leaves after ``seen`` words."""
+    shift = np.uint64(-(-64 // seen))
+    h = words.copy()
+    for k in range(1, seen):
+        h[k:] += words[:-k] << (shift * np.uint64(k))
+    return mix(h)
+
+
+def cuts(words: np.ndarray, counts: np.ndarray, min_words: int) -> np.ndarray:
+    """Words after which a text is cut: of each range of gear hashes the least, the last of equal ones."""
+    seen, among = chunk_words(min_words)
+    owner = np.repeat(np.arange(len(counts) - 1), np.diff(counts))
+    whole = np.flatnonzero(np.arange(len(words)) - counts[owner] >= seen - 1)
+    h, owner = gear_hashes(words, seen)[whole], owner[whole]
+    total = max(len(h) - among + 1, 0)
+    least, at = h[:total].copy(), np.arange(total)
+    for j in range(1, among):
+        lower = h[j : j + total] <= least
+        least[lower] = h[j : j + total][lower]
+        at[lower] = np.flatnonzero(lower) + j
+    return whole[np.unique(at[owner[:total] == owner[among - 1 : among - 1 + total]])]
 
-def seed_words(min_words: int) -> tuple[int, int]:
-    """(words of a seed, seeds to choose from in a window of ``min_words`` words)."""
-    size = (min_words + 1) // 2
-    return size, min_words - size + 1
 
+def chunks(texts: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
+    """(row, place, words, digest) of the chunks; places in words.
 
-def seeds(texts: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
-    """(row, place, hash) of the seeds: of each window the least hash, the last of equal ones; places in words."""
-    size, among = seed_words(min_words)
-    grams, ends = gram_hashes(*word_hashes(texts), size)
-    owner = np.repeat(np.arange(len(texts)), np.diff(ends))
-    total = max(len(grams) - among + 1, 0)
-    least, at = grams[:total].copy(), np.arange(total)
-    for j in range(1, among):
-        lower = grams[j : j + total] <= least
-        least[lower] = grams[j : j + total][lower]
-        at[lower] = np.flatnonzero(lower) + j
-    at = np.unique(at[owner[:total] == owner[among - 1 : among - 1 + total]])
-    return owner[at], at - ends[owner[at]], grams[at].view(np.int64)
+    A chunk goes from one cut to the next, and begins with the words that its
+    first cut's hash saw. What stands before a text's first cut and after its
+    last is shorter than a passage.
+    """
+    words, counts = word_hashes(texts)
+    at = cuts(words, counts, min_words)
+    owner = np.searchsorted(counts, at, "right") - 1
+    same = owner[1:] == owner[:-1]
+    row = owner[1:][same]
+    first, size = at[:-1][same] - chunk_words(min_words)[0] + 1, np.diff(at)[same] + chunk_words(min_words)[0]
+    digest = np.zeros(len(row), np.uint64)
+    for k in range(int(size.max(initial=0))):
+        live = size > k
+        digest[live] = mix(digest[live] * ODD + words[first[live] + k])
+    return row, first - counts[row], size, digest.view(np.int64)
 
 
-def windows(texts: pa.Array, row: np.ndarray, place: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """(row, start, end, start of the next word, digest 1, digest 2) of the windows of words around seeds (row, place).
+def windows(texts: pa.Array, row: np.ndarray, place: np.ndarray, size: np.ndarray, whole: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """(row, start, end, start of the next word, digest 1, digest 2) of the windows of words that hold one of the chunks (row, place, size), and of all in ``whole`` rows.
 
     Starts and ends are in code points; the text's end stands for a next word that isn't there.
     """
@@ -114,11 +90,11 @@ def windows(texts: pa.Array, row: np.ndarray, place: np.ndarray, min_words: int)
     d1, ends = gram_hashes(words, counts, min_words)
     d2, _ = gram_hashes(mix(words ^ np.uint64(0x5851F42D4C957F2D)), counts, min_words)
     owner = np.repeat(np.arange(len(texts)), np.diff(ends))
-    size, among = seed_words(min_words)
     change = np.zeros(len(d1) + 1, np.int64)
-    np.add.at(change, ends[row] + np.maximum(place - among + 1, 0), 1)
-    np.add.at(change, np.minimum(ends[row] + place + 1, ends[row + 1]), -1)
-    chosen = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+    begin, stop = ends[row] + np.maximum(place + size - min_words, 0), np.minimum(ends[row] + place + 1, ends[row + 1])
+    np.add.at(change, begin[begin < stop], 1)
+    np.add.at(change, stop[begin < stop], -1)
+    chosen = np.flatnonzero((np.cumsum(change[:-1]) > 0) | whole[owner])
     of = owner[chosen]
     solid = ~np.isin(data, np.array([0x20, 9, 10, 11, 12, 13], np.uint8))
     opens = np.zeros(len(data) + 1, bool)
@@ -156,24 +132,26 @@ def removable_spans(start: np.ndarray, end: np.ndarray, after: np.ndarray, is_fi
     return out
 
 
-def _seeded(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, k, place, h) of each seed of (doc_id, k, text)."""
+def _chunked(docs: DataFrame, min_words: int) -> DataFrame:
+    """(k, at, h) of each chunk of (k, text): the digest h, and at = place << 8 | words."""
+    if chunk_words(min_words)[0] + chunk_words(min_words)[1] > 255:
+        raise ValueError("min_words is too large")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text", 1_000_000):
-                row, place, h = seeds(part.column("text"), min_words)
-                ids = [part.column(c).take(pa.array(row)) for c in ("doc_id", "k")]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(place, pa.int32()), pa.array(h)], ["doc_id", "k", "place", "h"])
+                row, place, size, digest = chunks(part.column("text"), min_words)
+                yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(row)), pa.array(place << 8 | size), pa.array(digest)], ["k", "at", "h"])
         release()
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, place int, h long")
+    return docs.mapInArrow(run, "k long, at long, h long")
 
 
 def _windowed(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, k, piece, gap, d1, d2) of the windows around ``places`` of (doc_id, k, text, places).
+    """(doc_id, k, piece, gap, d1, d2) of the windows around ``places`` of (doc_id, k, text, places, copied).
 
-    piece is start << 32 | end, gap the characters from the end to the next word.
+    piece is start << 32 | end, gap the characters from the end to the next word,
+    times 2, and 1 more in copied texts, of which all windows are wanted.
     """
     names = ["doc_id", "k", "piece", "gap", "d1", "d2"]
 
@@ -181,13 +159,15 @@ def _windowed(docs: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             for part in blocks(batch, "text", 1_000_000):
                 places = part.column("places")
+                copied = part.column("copied").to_numpy(zero_copy_only=False).astype(bool)
                 row = np.repeat(np.arange(len(part)), places.value_lengths().to_numpy(zero_copy_only=False))
-                of, start, end, after, d1, d2 = windows(part.column("text"), row, places.flatten().to_numpy().astype(np.int64), min_words)
+                at = places.flatten().to_numpy().astype(np.int64)
+                of, start, end, after, d1, d2 = windows(part.column("text"), row, at >> 8, at & 255, copied, min_words)
                 ids = [part.column(c).take(pa.array(of)) for c in ("doc_id", "k")]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(start << 32 | end), pa.array(after - end, pa.int32()), pa.array(d1), pa.array(d2)], names)
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(start << 32 | end), pa.array((after - end) * 2 + copied[of], pa.int64()), pa.array(d1), pa.array(d2)], names)
         release()
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, piece long, gap int, d1 long, d2 long")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, piece long, gap long, d1 long, d2 long")
 
 
 def _spans(by_doc: DataFrame) -> DataFrame:
@@ -220,29 +200,53 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     occur more than once, and of what those of them cover that have an earlier
     occurrence, by document id (null last), text and place, but no first one, so
     that each window stays whole in its first occurrence. Words are compared, not
-    the white space between them. Rows with equal id and text share one row and
-    keep their first occurrence. Null and empty texts and an empty table give
+    the white space between them. Equal texts are compared with others once, and
+    the copies' rows say the same of all of them. Rows with equal id and text share
+    one row and keep their first occurrence. Texts of any length are whole. Null and empty texts and an empty table give
     nothing; other columns are ignored.
     """
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole_text(text)).alias("k"), whole_text(text).alias("text"))
+    key, other = text_key(whole_text(text))
+    source = docs.select(F.col(doc_id).alias("doc_id"), key.alias("k"), other.alias("k2"), whole_text(text).alias("text"))
     small_batches(docs.sparkSession)
-    every = _seeded(source, min_words)
-    # Tables of their own, so that both sides of a join are dealt for it and a hash with very many rows can be split.
-    twice = materialize(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    places = materialize(every.join(twice, "h").groupBy("doc_id", "k").agg(F.collect_set("place").alias("places")))
-    wanted = source.alias("s").join(places.alias("p"), F.col("s.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("s.k") == F.col("p.k")))
-    found = materialize(_windowed(wanted.select("s.doc_id", "s.k", "text", "places"), min_words))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k", "piece")
-    same = materialize(found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("d1", "d2", "first"))
-    by_doc = found.join(same, ["d1", "d2"]).groupBy("doc_id", "k").agg(F.collect_list(F.struct("piece", "gap", (place == F.col("first")).alias("is_first"))).alias("pieces"))
-    return _spans(by_doc)
+    # Equal texts are one: the row of the least id stands for its copies, whose windows all have an earlier occurrence.
+    keyed = materialize(source.select("doc_id", "k", "k2"))
+    texts = materialize(keyed.groupBy("k", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("first"), (F.count("*") > 1).alias("copied")).select("k", "k2", "first.doc_id", "copied"))
+    every = _chunked(source.select("k", "text"), min_words)
+    # Chunks at several places, those of equal texts being one. Tables of their own, so that both sides of a join are dealt for it and a hash with very many rows can be split.
+    place = F.xxhash64("k", "at")
+    twice = materialize(every.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h"))
+    places = materialize(every.join(twice, "h").groupBy("k").agg(F.collect_set("at").alias("places")))
+    discard(twice)
+    held = texts.join(places, "k", "left").where(F.col("places").isNotNull() | F.col("copied"))
+    held = materialize(held.select("doc_id", "k", F.coalesce("places", F.array().cast("array<bigint>")).alias("places"), "copied"))
+    discard(places)
+    wanted = source.alias("s").join(held.alias("p"), F.col("s.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("s.k") == F.col("p.k")))
+    found = materialize(_windowed(wanted.select("s.doc_id", "s.k", "text", "places", "copied"), min_words))
+    discard(held)
+    where = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k", "piece")
+    repeats = (F.count("*") > 1) | (F.max(F.col("gap").bitwiseAND(1)) > 0)
+    same = materialize(found.groupBy("d1", "d2").agg(repeats.alias("repeats"), F.min(where).alias("first")).where("repeats").select("d1", "d2", "first"))
+    piece = F.struct("piece", F.shiftright("gap", 1).alias("gap"), (where == F.col("first")).alias("is_first"))
+    spans = materialize(_spans(found.join(same, ["d1", "d2"]).groupBy("doc_id", "k").agg(F.collect_list(piece).alias("pieces"))))
+    discard(found)
+    discard(same)
+    first = texts.where("copied").select("k", "k2", F.col("doc_id").alias("first_id"))
+    copies = keyed.join(first, ["k", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).distinct()
+    whole = copies.alias("c").join(spans.alias("r"), (F.col("c.k") == F.col("r.k")) & F.col("c.first_id").eqNullSafe(F.col("r.doc_id")))
+    return spans.unionByName(whole.select("c.doc_id", "c.k", "repeated", F.col("repeated").alias("removable")))
 
 
 def remove_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 20) -> DataFrame:
-    """``docs`` with the removable passages taken out of ``text``; texts without any stay as they are."""
-    passages = materialize(repeated_passages(docs, text, doc_id, min_words).where(F.size("removable") > 0).select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "removable"))
-    joined = docs.join(passages, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text(text)) == F.col("_k")), "left")
+    """``docs`` with the removable passages taken out of ``text``; texts without any, null ones among them, stay as they are.
+
+    Other columns are kept, whatever their names.
+    """
+    passages = materialize(repeated_passages(docs, text, doc_id, min_words).where(F.size("removable") > 0).select("doc_id", "k", "removable"))
+    # The row is one column beside the others, so that no name of it can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.xxhash64(whole_text(text)).alias("key"))
+    joined = rows.join(passages, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("k")), "left")
+    old = F.col("row")[text]
     begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("removable", lambda s: s["end"]))
-    ends = F.concat(F.transform("removable", lambda s: s["start"]), F.array(F.length(text).cast("bigint")))
-    left = F.array_join(F.zip_with(begins, ends, lambda a, b: F.substr(F.col(text), (a + 1).cast("int"), (b - a).cast("int"))), "")
-    return joined.select(*[F.when(F.col("removable").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else c for c in docs.columns])
+    ends = F.concat(F.transform("removable", lambda s: s["start"]), F.array(F.length(old).cast("bigint")))
+    left = F.array_join(F.zip_with(begins, ends, lambda a, b: F.substr(old, (a + 1).cast("int"), (b - a).cast("int"))), "")
+    return joined.select(*[F.when(F.col("removable").isNull(), old).otherwise(left).alias(text) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

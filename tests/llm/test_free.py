@@ -325,32 +325,48 @@ def test_estimates_above_the_margin_need_no_exact_count(spark):
 # --- substring dedup ------------------------------------------------------------------
 
 
-def test_chunks_cover_the_text_and_resist_shifts():
+def test_chunks_follow_each_other_and_resist_shifts():
     rnd = random.Random(15)
     text = prose(rnd, 3000, 10**6)
     shifted = "inserted é words " + text[:5000] + " more " + text[5000:]
-    odd = [None, "", "é" * 500, "x" * 1000, "short"]
-    row, start, chars, size, d1, d2 = substring_dedup.chunks(pa.array([text, shifted, *odd]))
+    odd = [None, "", "é" * 500, "x " * 1000, "short"]
+    seen, among = substring_dedup.chunk_words(20)
+    row, place, size, digest = substring_dedup.chunks(pa.array([text, shifted, *odd]), 20)
     for r, t in enumerate([text, shifted, *odd]):
-        own = row == r
-        assert chars[own].sum() == len(t or "")
-        assert start[own].tolist() == (np.cumsum(chars[own]) - chars[own]).tolist()
-        assert size[own].sum() == len(words(t))
-    digests = lambda r: set(zip(d1[row == r].tolist(), d2[row == r].tolist()))
+        own, n = row == r, len(words(t))
+        if n < 20:
+            assert not own.any()
+            continue
+        assert place[own][0] < among and place[own][-1] + size[own][-1] > n - among
+        assert (place[own][1:] == (place + size)[own][:-1] - seen).all()
+        assert size[own].min() > seen and size[own].max() <= seen + among
+    digests = lambda r: set(digest[row == r].tolist())
     assert len(digests(0) & digests(1)) > 0.95 * len(digests(0))
-    single = substring_dedup.chunks(pa.array([text]))
-    assert single[4].tolist() == d1[row == 0].tolist()
-
-
-def test_rolling_hash_equals_its_definition():
-    data = np.frombuffer(random.Random(16).randbytes(3000), np.uint8)
-    places = set(substring_dedup.cut_places(data).tolist())
-    for i in range(substring_dedup.WINDOW, len(data) + 1):
-        h = 0
-        for b in data[i - substring_dedup.WINDOW : i]:
-            h = (h * 2 + int(substring_dedup.GEAR[b])) % 2**64
-        cut = int(shingles.mix(np.array([h], np.uint64))[0]) >> (64 - substring_dedup.CUT_BITS) == 0
-        assert (i in places) == cut
+    assert substring_dedup.chunks(pa.array([text]), 20)[3].tolist() == digest[row == 0].tolist()
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 9, 20, 31])
+def test_passages_hold_a_chunk_wherever_they_stand(n):
+    rnd = random.Random(16)
+    for letters in ("ab", "abcdefgh", "a"):
+        short = lambda m: [rnd.choice(letters) for _ in range(m)]
+        passage = short(n)
+        found = []
+        for _ in range(40):
+            before = short(rnd.randrange(40))
+            _, place, size, digest = substring_dedup.chunks(pa.array([" ".join([*before, *passage, *short(rnd.randrange(40))])]), n)
+            inside = (place >= len(before)) & (place + size <= len(before) + n)
+            found.append(set(zip((place - len(before))[inside].tolist(), size[inside].tolist(), digest[inside].tolist())))
+        assert set.intersection(*found)
+
+
+def test_gear_hash_equals_its_definition():
+    data = np.random.default_rng(16).integers(0, 2**64, 500, dtype=np.uint64)
+    for seen in (1, 2, 4, 6):
+        rolled, h = substring_dedup.gear_hashes(data, seen), 0
+        for i, w in enumerate(data.tolist()):
+            h = ((h << -(-64 // seen)) + w) % 2**64
+            assert int(rolled[i]) == int(shingles.mix(np.array([h], np.uint64))[0])
 
 
 def test_repeated_passages(spark):
