@@ -81,8 +81,9 @@ def chunks(texts: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
 
 
 def windows(texts: pa.Array, row: np.ndarray, place: np.ndarray, size: np.ndarray, whole: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """(row, start, end, start of the next word, digest 1, digest 2) of the windows of words that hold one of the chunks (row, place, size), and of all in ``whole`` rows.
+    """(row, start, end, start of the next word, digest 1, digest 2) of the windows of words that hold one of the chunks (row, place, size).
 
+    After them come the runs of other windows in ``whole`` rows, each as one, with digests of 0.
     Starts and ends are in code points; the text's end stands for a next word that isn't there.
     """
     data, offsets = text_bytes(texts)
@@ -94,8 +95,14 @@ def windows(texts: pa.Array, row: np.ndarray, place: np.ndarray, size: np.ndarra
     begin, stop = ends[row] + np.maximum(place + size - min_words, 0), np.minimum(ends[row] + place + 1, ends[row + 1])
     np.add.at(change, begin[begin < stop], 1)
     np.add.at(change, stop[begin < stop], -1)
-    chosen = np.flatnonzero((np.cumsum(change[:-1]) > 0) | whole[owner])
-    of = owner[chosen]
+    held = np.cumsum(change[:-1]) > 0
+    chosen = np.flatnonzero(held)
+    rest = np.flatnonzero(~held & whole[owner])
+    apart = np.ones(len(rest) + 1, bool)
+    apart[1:-1] = (np.diff(rest) > 1) | (np.diff(owner[rest]) > 0)
+    runs, lasts = rest[apart[:-1]], rest[apart[1:]]
+    begun, ended = np.concatenate([chosen, runs]), np.concatenate([chosen, lasts])
+    of = owner[begun]
     solid = ~np.isin(data, np.array([0x20, 9, 10, 11, 12, 13], np.uint8))
     opens = np.zeros(len(data) + 1, bool)
     opens[offsets] = True
@@ -104,10 +111,10 @@ def windows(texts: pa.Array, row: np.ndarray, place: np.ndarray, size: np.ndarra
     stops[:-1] &= ~solid[1:] | opens[1:-1]
     a, b = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    first = counts[of] + chosen - ends[of]
-    after = np.where(first + min_words < counts[of + 1], np.append(a, 0)[np.minimum(first + min_words, len(a))], offsets[of + 1])
-    at = [chars[x] - chars[offsets[of]] for x in (a[first], b[first + min_words - 1], after)]
-    return of, *at, d1[chosen].view(np.int64), d2[chosen].view(np.int64)
+    first, last = counts[of] + begun - ends[of], counts[of] + ended - ends[of] + min_words - 1
+    after = np.where(last + 1 < counts[of + 1], np.append(a, 0)[np.minimum(last + 1, len(a))], offsets[of + 1])
+    at = [chars[x] - chars[offsets[of]] for x in (a[first], b[last], after)]
+    return of, *at, *(np.concatenate([d[chosen], np.zeros(len(runs), np.uint64)]).view(np.int64) for d in (d1, d2))
 
 
 def union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +158,7 @@ def _windowed(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, k, piece, gap, d1, d2) of the windows around ``places`` of (doc_id, k, text, places, copied).
 
     piece is start << 32 | end, gap the characters from the end to the next word,
-    times 2, and 1 more in copied texts, of which all windows are wanted.
+    times 2, and 1 more in copied texts, whose other windows come as runs with digests of 0.
     """
     names = ["doc_id", "k", "piece", "gap", "d1", "d2"]
 
@@ -225,9 +232,13 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     discard(held)
     where = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k", "piece")
     repeats = (F.count("*") > 1) | (F.max(F.col("gap").bitwiseAND(1)) > 0)
-    same = materialize(found.groupBy("d1", "d2").agg(repeats.alias("repeats"), F.min(where).alias("first")).where("repeats").select("d1", "d2", "first"))
-    piece = F.struct("piece", F.shiftright("gap", 1).alias("gap"), (where == F.col("first")).alias("is_first"))
-    spans = materialize(_spans(found.join(same, ["d1", "d2"]).groupBy("doc_id", "k").agg(F.collect_list(piece).alias("pieces"))))
+    is_run = (F.col("d1") == 0) & (F.col("d2") == 0)
+    alike = found.where(~is_run)
+    same = materialize(alike.groupBy("d1", "d2").agg(repeats.alias("repeats"), F.min(where).alias("first")).where("repeats").select("d1", "d2", "first"))
+    piece = lambda is_first: F.struct("piece", F.shiftright("gap", 1).alias("gap"), is_first.alias("is_first")).alias("piece")
+    # Runs stand in one text and its copies only, so there they are first.
+    pieces = alike.join(same, ["d1", "d2"]).select("doc_id", "k", piece(where == F.col("first"))).unionByName(found.where(is_run).select("doc_id", "k", piece(F.lit(True))))
+    spans = materialize(_spans(pieces.groupBy("doc_id", "k").agg(F.collect_list("piece").alias("pieces"))))
     discard(found)
     discard(same)
     first = texts.where("copied").select("k", "k2", F.col("doc_id").alias("first_id"))

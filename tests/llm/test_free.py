@@ -444,3 +444,17 @@ def test_passages_are_whole_and_exact(spark):
     repeated = {w for i, t in docs for a, b in want.get(i, []) for w in windows([(i, t[a:b])])}
     assert repeated <= windows(cleaned)
     assert brute_passages(cleaned) == {}
+
+
+def test_copies_and_their_passages(spark):
+    rnd = random.Random(20)
+    passage, lone = prose(rnd, 40, 10**6), [prose(rnd, 90, 10**6) for _ in range(3)]
+    copied = f"{lone[0]} {passage} é {lone[1]}"
+    docs = [(3, copied), (5, copied), (5, copied), (9, copied), (1, f"{passage} {prose(rnd, 30, 10**6)}"), (7, f"x {lone[1]}"), (8, lone[2]), (2, lone[2]), (6, prose(rnd, 19) + "\n"), (4, prose(rnd, 19))]
+    rows = {r.doc_id: r for r in substring_dedup.repeated_passages(make(spark, docs)).collect()}
+    assert {i: [tuple(s) for s in r.repeated] for i, r in rows.items()} == brute_passages(sorted(docs))
+    assert {i: len(r.removable) for i, r in rows.items()} == {1: 0, 2: 0, 3: 1, 5: 1, 7: 1, 8: 1, 9: 1}
+    # Windows over the passage's ends are first here and keep 19 words of it on each side.
+    begin, of = copied.index(passage), words(passage)
+    assert tuple(rows[3].removable[0]) == (begin + len(" ".join(of[:19])) + 1, begin + len(" ".join(of[:21])) + 1)
+    assert all(rows[i].removable == rows[i].repeated for i in (5, 7, 8, 9))
