@@ -25,6 +25,17 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def _write(df: DataFrame, path: str) -> None:
+    """Write ``df``; the shuffle files go when it is written, as nothing reads them any more."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table and read it back.
 
@@ -33,7 +44,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/plumbline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _write(df, path)
     _at(spark, path, lambda fs, p: fs.deleteOnExit(p))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
@@ -51,7 +62,7 @@ class Rounds:
         """Write the next round's rows, and give them back as read."""
         self.n += 1
         at = f"{self.path}/round={self.n}"
-        rows.write.parquet(at)
+        _write(rows, at)
         if self.n == 1:
             _at(self.spark, self.path, lambda fs, p: fs.deleteOnExit(p))
         return self.spark.read.schema(self.schema).parquet(at)
