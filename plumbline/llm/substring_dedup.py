@@ -4,7 +4,7 @@ A gear hash rolls over the words of a text and cuts it where it is least
 nearby, so a passage is cut alike wherever it stands, whatever was inserted
 before it. Chunks are deduplicated by digest. Any passage of enough words holds
 a whole chunk, so chunks that occur twice say where windows may repeat; there
-every window is compared by 128-bit digest. What repeated windows cover are
+every window is compared by 96-bit digest. What repeated windows cover are
 passages; all but the first occurrence can go.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import discard, materialize, release, small_batches, text_key, whole_text
@@ -23,6 +23,10 @@ from plumbline.llm.shingles import blocks, gram_hashes, mix, text_bytes, word_ha
 #: An odd multiplier of the chunks' digests.
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
+#: What is known of windows before they are compared: that they occur again, that a run of
+#: them is first wherever it occurs, and that a run of them has earlier occurrences.
+REPEATED, FIRST, LATER = 1, 2, 3
+
 
 def chunk_words(min_words: int) -> tuple[int, int]:
     """(words that the gear hash sees, hashes of which the least cuts).
@@ -80,16 +84,18 @@ def chunks(texts: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
     return row, first - counts[row], size, digest.view(np.int64)
 
 
-def windows(texts: pa.Array, row: np.ndarray, place: np.ndarray, size: np.ndarray, whole: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """(row, start, end, start of the next word, digest 1, digest 2) of the windows of words that hold one of the chunks (row, place, size).
+def windows(texts: pa.Array, number: np.ndarray, row: np.ndarray, place: np.ndarray, size: np.ndarray, whole: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """(row, start, end, start of the next word, state, digest 1, digest 2) of the windows of words that hold one of the chunks (row, place, size).
 
-    After them come the runs of other windows in ``whole`` rows, each as one, with digests of 0.
-    Starts and ends are in code points; the text's end stands for a next word that isn't there.
+    Of windows that occur more than once here, the one of the least text ``number`` and place
+    is REPEATED, and the others come as runs that are LATER. Other windows in ``whole`` rows
+    come as runs that are FIRST. The digests of a run are its own. Starts and ends are in
+    code points; the text's end stands for a next word that isn't there.
     """
     data, offsets = text_bytes(texts)
     words, counts = word_hashes(texts)
     d1, ends = gram_hashes(words, counts, min_words)
-    d2, _ = gram_hashes(mix(words ^ np.uint64(0x5851F42D4C957F2D)), counts, min_words)
+    d2 = gram_hashes(mix(words ^ np.uint64(0x5851F42D4C957F2D)), counts, min_words)[0] >> np.uint64(32)
     owner = np.repeat(np.arange(len(texts)), np.diff(ends))
     change = np.zeros(len(d1) + 1, np.int64)
     begin, stop = ends[row] + np.maximum(place + size - min_words, 0), np.minimum(ends[row] + place + 1, ends[row + 1])
@@ -97,11 +103,29 @@ def windows(texts: pa.Array, row: np.ndarray, place: np.ndarray, size: np.ndarra
     np.add.at(change, stop[begin < stop], -1)
     held = np.cumsum(change[:-1]) > 0
     chosen = np.flatnonzero(held)
+    of = owner[chosen]
+    at = chosen - ends[of]
+    order = np.lexsort((at, number[of], d2[chosen], d1[chosen]))
+    x = chosen[order]
+    opens_group = np.ones(len(x), bool)
+    opens_group[1:] = (d1[x[1:]] != d1[x[:-1]]) | (d2[x[1:]] != d2[x[:-1]])
+    lead = order[np.flatnonzero(opens_group)[np.cumsum(opens_group) - 1]] if len(x) else order
+    # Rows of equal id and text share number and place: neither is later than the other.
+    behind = (number[of[order]] != number[of[lead]]) | (at[order] != at[lead])
+    state = np.where(whole[of], REPEATED, 0)
+    state[lead[behind]] = REPEATED
+    state[order[behind]] = LATER
+    alone = state != LATER
     rest = np.flatnonzero(~held & whole[owner])
-    apart = np.ones(len(rest) + 1, bool)
-    apart[1:-1] = (np.diff(rest) > 1) | (np.diff(owner[rest]) > 0)
-    runs, lasts = rest[apart[:-1]], rest[apart[1:]]
-    begun, ended = np.concatenate([chosen, runs]), np.concatenate([chosen, lasts])
+
+    def runs(among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart = np.ones(len(among) + 1, bool)
+        apart[1:-1] = (np.diff(among) > 1) | (np.diff(owner[among]) > 0)
+        return among[apart[:-1]], among[apart[1:]]
+
+    (unique, unique_ends), (later, later_ends) = runs(rest), runs(chosen[~alone])
+    begun, ended = np.concatenate([chosen[alone], unique, later]), np.concatenate([chosen[alone], unique_ends, later_ends])
+    state = np.concatenate([state[alone], np.full(len(unique), FIRST), np.full(len(later), LATER)])
     of = owner[begun]
     solid = ~np.isin(data, np.array([0x20, 9, 10, 11, 12, 13], np.uint8))
     opens = np.zeros(len(data) + 1, bool)
@@ -113,8 +137,11 @@ def windows(texts: pa.Array, row: np.ndarray, place: np.ndarray, size: np.ndarra
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     first, last = counts[of] + begun - ends[of], counts[of] + ended - ends[of] + min_words - 1
     after = np.where(last + 1 < counts[of + 1], np.append(a, 0)[np.minimum(last + 1, len(a))], offsets[of + 1])
-    at = [chars[x] - chars[offsets[of]] for x in (a[first], b[last], after)]
-    return of, *at, *(np.concatenate([d[chosen], np.zeros(len(runs), np.uint64)]).view(np.int64) for d in (d1, d2))
+    start, end, after = (chars[x] - chars[offsets[of]] for x in (a[first], b[last], after))
+    own = mix(mix(number[of].astype(np.uint64) ^ ODD) + (begun - ends[of]).astype(np.uint64))
+    run = state >= FIRST
+    d1, d2 = np.where(run, own, d1[begun]), np.where(run, mix(own ^ ODD) >> np.uint64(32), d2[begun])
+    return of, start, end, after, state, d1.view(np.int64), d2.astype(np.uint32).view(np.int32)
 
 
 def union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +167,12 @@ def removable_spans(start: np.ndarray, end: np.ndarray, after: np.ndarray, is_fi
 
 
 def _chunked(docs: DataFrame, min_words: int) -> DataFrame:
-    """(k, at, h) of each chunk of (k, text): the digest h, and at = place << 8 | words."""
+    """(k, at, h, known) of each chunk of (k, text): at = place << 8 | words, and the digest h.
+
+    A digest at several places of a block of texts comes once; the other places are
+    ``known`` to repeat it and have digests of their own, so that a digest's group
+    has a row a block at most.
+    """
     if chunk_words(min_words)[0] + chunk_words(min_words)[1] > 255:
         raise ValueError("min_words is too large")
 
@@ -148,37 +180,48 @@ def _chunked(docs: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             for part in blocks(batch, "text", 1_000_000):
                 row, place, size, digest = chunks(part.column("text"), min_words)
-                yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(row)), pa.array(place << 8 | size), pa.array(digest)], ["k", "at", "h"])
+                k, at = part.column("k").to_numpy(zero_copy_only=False).astype(np.int64)[row], place << 8 | size
+                order = np.lexsort((at, k, digest))
+                k, at, digest = k[order], at[order], digest[order]
+                same = digest[1:] == digest[:-1]
+                # Chunks of equal texts at one place are one.
+                moved = np.append(True, (k[1:] != k[:-1]) | (at[1:] != at[:-1]) | ~same)[: len(k)]
+                k, at, digest = k[moved], at[moved], digest[moved]
+                again = np.append(False, digest[1:] == digest[:-1])[: len(k)]
+                known = again.copy()
+                known[:-1] |= again[1:]
+                own = mix(mix(k.view(np.uint64) ^ ODD) + at.astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(at), pa.array(np.where(again, own, digest)), pa.array(known)], ["k", "at", "h", "known"])
         release()
 
-    return docs.mapInArrow(run, "k long, at long, h long")
+    return docs.mapInArrow(run, "k long, at long, h long, known boolean")
 
 
 def _windowed(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, k, piece, gap, d1, d2) of the windows around ``places`` of (doc_id, k, text, places, copied).
+    """(n, piece, gap, d1, d2) of the windows around ``places`` of (n, text, places, copied).
 
     piece is start << 32 | end, gap the characters from the end to the next word,
-    times 2, and 1 more in copied texts, whose other windows come as runs with digests of 0.
+    times 4, and the state.
     """
-    names = ["doc_id", "k", "piece", "gap", "d1", "d2"]
+    names = ["n", "piece", "gap", "d1", "d2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text", 1_000_000):
                 places = part.column("places")
                 copied = part.column("copied").to_numpy(zero_copy_only=False).astype(bool)
+                number = part.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
                 row = np.repeat(np.arange(len(part)), places.value_lengths().to_numpy(zero_copy_only=False))
                 at = places.flatten().to_numpy().astype(np.int64)
-                of, start, end, after, d1, d2 = windows(part.column("text"), row, at >> 8, at & 255, copied, min_words)
-                ids = [part.column(c).take(pa.array(of)) for c in ("doc_id", "k")]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(start << 32 | end), pa.array((after - end) * 2 + copied[of], pa.int64()), pa.array(d1), pa.array(d2)], names)
+                of, start, end, after, state, d1, d2 = windows(part.column("text"), number, row, at >> 8, at & 255, copied, min_words)
+                yield pa.RecordBatch.from_arrays([pa.array(number[of]), pa.array(start << 32 | end), pa.array((after - end) * 4 + state, pa.int64()), pa.array(d1), pa.array(d2)], names)
         release()
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, piece long, gap long, d1 long, d2 long")
+    return docs.mapInArrow(run, "n long, piece long, gap long, d1 long, d2 int")
 
 
 def _spans(by_doc: DataFrame) -> DataFrame:
-    """(doc_id, k, repeated, removable) of (doc_id, k, pieces)."""
+    """(n, repeated, removable) of (n, pieces)."""
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,10 +236,10 @@ def _spans(by_doc: DataFrame) -> DataFrame:
             for a, b in zip([0, *ends], ends, strict=False):
                 repeated.append(shown(zip(*(x.tolist() for x in union(start[a:b], end[a:b])), strict=True)))
                 removable.append(shown(removable_spans(start[a:b], end[a:b], end[a:b] + gap[a:b], is_first[a:b])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), pa.array(repeated, spans), pa.array(removable, spans)], ["doc_id", "k", "repeated", "removable"])
+            yield pa.RecordBatch.from_arrays([batch.column("n"), pa.array(repeated, spans), pa.array(removable, spans)], ["n", "repeated", "removable"])
 
     kind = "array<struct<start:bigint,end:bigint>>"
-    return by_doc.mapInArrow(run, f"doc_id {by_doc.schema['doc_id'].dataType.simpleString()}, k long, repeated {kind}, removable {kind}")
+    return by_doc.mapInArrow(run, f"n long, repeated {kind}, removable {kind}")
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 20) -> DataFrame:
@@ -217,30 +260,27 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     small_batches(docs.sparkSession)
     # Equal texts are one: the row of the least id stands for its copies, whose windows all have an earlier occurrence.
     keyed = materialize(source.select("doc_id", "k", "k2"))
-    texts = materialize(keyed.groupBy("k", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("first"), (F.count("*") > 1).alias("copied")).select("k", "k2", "first.doc_id", "copied"))
-    every = _chunked(source.select("k", "text"), min_words)
-    # Chunks at several places, those of equal texts being one. Tables of their own, so that both sides of a join are dealt for it and a hash with very many rows can be split.
-    place = F.xxhash64("k", "at")
-    twice = materialize(every.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h"))
-    places = materialize(every.join(twice, "h").groupBy("k").agg(F.collect_set("at").alias("places")))
-    discard(twice)
+    last = F.col("doc_id").isNull()
+    texts = keyed.groupBy("k", "k2").agg(F.min(F.struct(last.alias("last"), "doc_id")).alias("first"), (F.count("*") > 1).alias("copied")).select("k", "k2", "first.doc_id", "copied")
+    # n numbers them in the order of occurrences.
+    texts = materialize(texts.orderBy(last, "doc_id", "k").withColumn("n", F.monotonically_increasing_id()))
+    place, alike = F.xxhash64("k", "at"), Window.partitionBy("h")
+    repeats = F.max("known").over(alike) | (F.min(place).over(alike) != F.max(place).over(alike))
+    every = _chunked(source.select("k", "text"), min_words).withColumn("repeats", repeats)
+    places = every.where("repeats").groupBy("k").agg(F.collect_set("at").alias("places"))
     held = texts.join(places, "k", "left").where(F.col("places").isNotNull() | F.col("copied"))
-    held = materialize(held.select("doc_id", "k", F.coalesce("places", F.array().cast("array<bigint>")).alias("places"), "copied"))
-    discard(places)
+    held = materialize(held.select("n", "doc_id", "k", F.coalesce("places", F.array().cast("array<bigint>")).alias("places"), "copied"))
     wanted = source.alias("s").join(held.alias("p"), F.col("s.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("s.k") == F.col("p.k")))
-    found = materialize(_windowed(wanted.select("s.doc_id", "s.k", "text", "places", "copied"), min_words))
+    # A digest has a row a block of texts at most, so one shuffle finds what repeats and which is first.
+    state, where, alike = F.col("gap").bitwiseAND(3), F.struct("n", "piece"), Window.partitionBy("d1", "d2")
+    found = _windowed(wanted.select("n", "text", "places", "copied"), min_words)
+    found = found.select("n", "piece", "gap", (F.count("*").over(alike) > 1).alias("again"), F.min(where).over(alike).alias("first"))
+    is_first = (state == FIRST) | ((state != LATER) & (where == F.col("first")))
+    piece = F.struct("piece", F.shiftright("gap", 2).alias("gap"), is_first.alias("is_first")).alias("piece")
+    pieces = found.where(F.col("again") | (state > 0)).select("n", piece)
+    spans = _spans(pieces.groupBy("n").agg(F.collect_list("piece").alias("pieces")))
+    spans = materialize(spans.join(texts.select("n", "doc_id", "k"), "n").select("doc_id", "k", "repeated", "removable"))
     discard(held)
-    where = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k", "piece")
-    repeats = (F.count("*") > 1) | (F.max(F.col("gap").bitwiseAND(1)) > 0)
-    is_run = (F.col("d1") == 0) & (F.col("d2") == 0)
-    alike = found.where(~is_run)
-    same = materialize(alike.groupBy("d1", "d2").agg(repeats.alias("repeats"), F.min(where).alias("first")).where("repeats").select("d1", "d2", "first"))
-    piece = lambda is_first: F.struct("piece", F.shiftright("gap", 1).alias("gap"), is_first.alias("is_first")).alias("piece")
-    # Runs stand in one text and its copies only, so there they are first.
-    pieces = alike.join(same, ["d1", "d2"]).select("doc_id", "k", piece(where == F.col("first"))).unionByName(found.where(is_run).select("doc_id", "k", piece(F.lit(True))))
-    spans = materialize(_spans(pieces.groupBy("doc_id", "k").agg(F.collect_list("piece").alias("pieces"))))
-    discard(found)
-    discard(same)
     first = texts.where("copied").select("k", "k2", F.col("doc_id").alias("first_id"))
     copies = keyed.join(first, ["k", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).distinct()
     whole = copies.alias("c").join(spans.alias("r"), (F.col("c.k") == F.col("r.k")) & F.col("c.first_id").eqNullSafe(F.col("r.doc_id")))
