@@ -259,9 +259,9 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     source = docs.select(F.col(doc_id).alias("doc_id"), key.alias("k"), other.alias("k2"), whole_text(text).alias("text"))
     small_batches(docs.sparkSession)
     # Equal texts are one: the row of the least id stands for its copies, whose windows all have an earlier occurrence.
-    keyed = materialize(source.select("doc_id", "k", "k2"))
+    keyed = materialize(source.groupBy("doc_id", "k", "k2").agg(F.count("*").alias("rows")))
     last = F.col("doc_id").isNull()
-    texts = keyed.groupBy("k", "k2").agg(F.min(F.struct(last.alias("last"), "doc_id")).alias("first"), (F.count("*") > 1).alias("copied")).select("k", "k2", "first.doc_id", "copied")
+    texts = keyed.groupBy("k", "k2").agg(F.min(F.struct(last.alias("last"), "doc_id")).alias("first"), (F.sum("rows") > 1).alias("copied")).select("k", "k2", "first.doc_id", "copied")
     # n numbers them in the order of occurrences.
     texts = materialize(texts.orderBy(last, "doc_id", "k").withColumn("n", F.monotonically_increasing_id()))
     place, alike = F.xxhash64("k", "at"), Window.partitionBy("h")
@@ -282,7 +282,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     spans = materialize(spans.join(texts.select("n", "doc_id", "k"), "n").select("doc_id", "k", "repeated", "removable"))
     discard(held)
     first = texts.where("copied").select("k", "k2", F.col("doc_id").alias("first_id"))
-    copies = keyed.join(first, ["k", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).distinct()
+    # Nothing is grouped after this join, so that a text with very many copies can be split.
+    copies = keyed.drop("rows").join(first, ["k", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
     whole = copies.alias("c").join(spans.alias("r"), (F.col("c.k") == F.col("r.k")) & F.col("c.first_id").eqNullSafe(F.col("r.doc_id")))
     return spans.unionByName(whole.select("c.doc_id", "c.k", "repeated", F.col("repeated").alias("removable")))
 
